@@ -17,7 +17,7 @@ from tessera.llm.common import OWN, SPACES, let, staged, word_array
 #: Metric values are integers from 0 to BINS - 1.
 BINS = 1001
 #: Metric: (least slack over the upper quartile, the quartile range's factor).
-METRICS = {"symbols": (100, 6), "dup_lines": (300, 6), "repeats": (150, 6), "word_length": (40, 6), "capitals": (450, 6)}
+METRICS = {"symbols": (40, 6), "dup_lines": (400, 6), "repeats": (300, 6), "word_length": (40, 6), "capitals": (450, 6)}
 WINDOW = 8
 
 
