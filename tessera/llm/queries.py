@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.bpe import encode_documents
 from tessera.llm.chat import format_preferences
+from tessera.llm.language import identify_languages
 from tessera.llm.licences import scan_licences
 from tessera.llm.mixing import mix
+from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.oracles import SQL
 from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import assign_shards
@@ -19,6 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +43,10 @@ def op6_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op5_url_filters, op6_licence_scans, op8_source_mixing, op9_chat_formatting, op10_sharding)}
+    return {f.__name__: f for f in (op2_language_id, op3_simhash_near_dedup, op4_quality_rules, op5_url_filters, op6_licence_scans, op7_byte_bpe, op8_source_mixing, op9_chat_formatting, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
