@@ -40,7 +40,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def word_array(text: Column) -> Column:
     """The maximal runs of characters other than white space; none for null."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACES}]+|[{SPACES}]+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACES}]+"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import encode_documents
 from tessera.llm.chat import format_preferences
+from tessera.llm.fingerprints import fingerprint_documents
 from tessera.llm.language import identify_languages
 from tessera.llm.licences import scan_licences
 from tessera.llm.mixing import mix
@@ -23,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_simhash_near_dedup, op4_quality_rules, op5_url_filters, op6_licence_scans, op7_byte_bpe, op8_source_mixing, op9_chat_formatting, op10_sharding)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_simhash_near_dedup, op4_quality_rules, op5_url_filters, op6_licence_scans, op7_byte_bpe, op8_source_mixing, op9_chat_formatting, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
