@@ -1,11 +1,15 @@
 """SimHash near-duplicates by segment-popcount embedding.
 
-A 64-bit fingerprint is mapped to the bit counts of 22 segments (21 of three bits, one of one).  The Manhattan distance of
-two such vectors is at most the Hamming distance of the fingerprints.  Vectors at distance 2 or less have an integer point
-within 1 of both, so every fingerprint is filed under its own grid cell and the cells next to it, and a linked pair always
-shares a cell.  A cell with two fingerprints gives one pair, verified exactly.  The fingerprints of fuller cells are filed
-under the 65 values within one bit of them: two share such a value if and only if they differ in at most 2 bits, and no
-value has more than 65 of them.  So no pair is missed, and no group of fingerprints is ever expanded into all its pairs.
+A fingerprint is mapped to the bit counts of its segments (for 64 bits: 21 of three bits and one of one).  The Manhattan
+distance of two such vectors is at most the Hamming distance of the fingerprints.  Vectors at distance 2 or less have an
+integer point within 1 of both, so every fingerprint is filed under its own grid cell and the cells next to it, and a linked
+pair always shares a cell.  A cell with two fingerprints gives one pair, verified exactly.  The fingerprints of fuller cells
+are filed under the values within one bit of them: two share such a value if and only if they differ in at most 2 bits, and
+no value has more than one plus the number of bits.  So no pair is missed, and no group is ever expanded into all its pairs.
+
+``near_duplicates`` links documents whose 64-bit fingerprints differ in at most 2 bits.  ``similar_texts`` finds texts of a
+given Jaccard similarity: eight 32-bit fingerprints of a text are linked each in the same way, and a pair of texts linked by
+any of them is verified on its whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import repeat_rows, row_key, staged
 from tessera.llm.components import connected_components
 
 RADIUS = 2
-#: Every third bit from bit 0 to 60: the lowest bit of each three-bit segment.
-LANES = sum(1 << (3 * i) for i in range(21))
-TOP = -(1 << 63)
+#: Widths of the segments, from the lowest bit on, of 64-bit and of 32-bit fingerprints.
+WIDE, NARROW = (3,) * 21 + (1,), (2,) * 16
+#: 32-bit fingerprints of a text, and the words of their shingles, for ``similar_texts``.
+GROUPS, GROUP_WORDS = 8, 2
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -80,40 +85,51 @@ def fingerprints(rows: DataFrame, words: int = 3) -> DataFrame:
     return rows.mapInArrow(partial(_fingerprinted, words=words), f"{types}, fp long")
 
 
-def cell_of(fp: Column) -> Column:
-    """The popcount vector as a long: a count of 0 to 3 in each three-bit lane, the top bit as it is."""
-    low = fp.bitwiseAND(F.lit(LANES))
-    mid = F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LANES))
-    high = F.shiftrightunsigned(fp, 2).bitwiseAND(F.lit(LANES))
-    return (low + mid + high).bitwiseOR(fp.bitwiseAND(F.lit(TOP)))
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def cells_near(cell: Column) -> Column:
+def cell_of(fp: Column, segments: tuple[int, ...]) -> Column:
+    """The popcount vector as a long: the bit count of each segment in a lane of two bits."""
+    out, start = F.lit(0).cast("long"), 0
+    for i, width in enumerate(segments):
+        mask = F.lit(signed(((1 << width) - 1) << start))
+        out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseAND(mask)).cast("long"), 2 * i))
+        start += width
+    return out
+
+
+def cells_near(cell: Column, segments: tuple[int, ...]) -> Column:
     """The cell and every cell at Manhattan distance 1 that some fingerprint could lie in."""
-    out = [cell, cell.bitwiseXOR(F.lit(TOP))]
-    for i in range(21):
-        one, full = 1 << (3 * i), 3 << (3 * i)
-        lane = cell.bitwiseAND(F.lit(full))
-        # Lanes hold 0 to 3 in three bits, so neither step carries into the next lane; bit 63 is left alone.
-        out += [F.when(lane != full, cell + F.lit(one)), F.when(lane != 0, cell - F.lit(one))]
+    out = [cell]
+    for i, width in enumerate(segments):
+        one, lane = F.lit(1 << 2 * i), F.shiftright(cell, 2 * i).bitwiseAND(F.lit(3))
+        out += [F.when(lane < width, cell + one), F.when(lane > 0, cell - one)]
     return F.array_compact(F.array(*out))
 
 
-def values_near(fp: Column) -> Column:
-    """The value and the 64 values one bit away."""
-    flips = [F.lit(1 << i if i < 63 else TOP) for i in range(64)]
-    return F.array(fp, *[fp.bitwiseXOR(x) for x in flips])
+def values_near(fp: Column, bits: int) -> Column:
+    """The value and those one bit away."""
+    return F.array(fp, *[fp.bitwiseXOR(F.lit(signed(1 << i))) for i in range(bits)])
+
 
+def links(distinct: DataFrame, segments: tuple[int, ...] = WIDE, by: tuple[str, ...] = (), chained: bool = False) -> DataFrame:
+    """Edges (by, a, b) that connect the distinct fingerprints ``fp`` of each ``by`` within 2 bits.
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints ``fp`` within 2 bits: not every pair, but the same components."""
-    cells = distinct.select("fp", F.explode(cells_near(cell_of(F.col("fp")))).alias("cell"))
-    filled = staged(cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-cells")
+    They are not every pair, but give the same components.  ``chained`` adds edges between neighbours in a bucket.
+    """
+    bits = sum(segments)
+    cells = distinct.select(*by, "fp", F.explode(cells_near(cell_of(F.col("fp"), segments), segments)).alias("cell"))
+    filled = staged(cells.groupBy(*by, "cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-cells")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    pairs = filled.filter((F.col("n") == 2) & close).select("a", "b").distinct()
-    crowded = cells.join(filled.filter("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
-    met = crowded.select("fp", F.explode(values_near(F.col("fp"))).alias("value")).groupBy("value").agg(F.array_sort(F.collect_set("fp")).alias("fps")).filter("size(fps) > 1")
-    stars = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b")).filter(close).distinct()
+    pairs = filled.filter((F.col("n") == 2) & close).select(*by, "a", "b").distinct()
+    crowded = cells.join(filled.filter("n > 2").select(*by, "cell"), [*by, "cell"], "left_semi").select(*by, "fp").distinct()
+    met = crowded.select(*by, "fp", F.explode(values_near(F.col("fp"), bits)).alias("value")).groupBy(*by, "value").agg(F.array_sort(F.collect_set("fp")).alias("fps")).filter("size(fps) > 1")
+    rest = F.slice("fps", 2, bits)
+    edges = F.transform(rest, lambda b: F.struct(F.col("fps")[0].alias("a"), b.alias("b")))
+    if chained:
+        edges = F.concat(edges, F.transform(F.slice("fps", 3, bits), lambda b, i: F.struct(F.get(rest, i).alias("a"), b.alias("b"))))
+    stars = met.select(*by, F.explode(edges).alias("e")).select(*by, "e.a", "e.b").filter(close).distinct()
     return pairs.union(stars)
 
 
@@ -135,3 +151,83 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fps = staged(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words), "near-fps")
     # One fingerprint may belong to a third of all rows: the join is a plain equality that adaptive execution splits.
     return fps.join(classes(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _group_prints(text: str | None) -> np.ndarray:
+    """Eight 32-bit fingerprints of a text, from its pairs of words."""
+    votes, n = np.zeros(32 * GROUPS, dtype=np.int64), 0
+    held: list[bytes] = []
+    any_ = False
+    for chunk in chunks_of_words((text or "").encode("utf-8", "surrogatepass").lower()):
+        held += chunk
+        shingles = list(map(b" ".join, zip(*(islice(held, k, None) for k in range(GROUP_WORDS)), strict=False)))
+        held = held[len(held) - GROUP_WORDS + 1 :] if shingles else held
+        any_ = any_ or bool(shingles)
+        for at in range(0, len(shingles), 8192):
+            votes += _bit_sums(shingles[at : at + 8192])
+        n += len(shingles)
+    if held and not any_:
+        votes, n = _bit_sums([b" ".join(held)]), 1
+    return np.packbits((2 * votes > n).reshape(GROUPS, 32), axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
+
+
+def _bit_sums(shingles: list[bytes]) -> np.ndarray:
+    """How often each of 256 hash bits is set."""
+    halves = [b"".join(map(partial(xxhash.xxh128_digest, seed=seed), shingles)) for seed in range(GROUPS // 4)]
+    return np.concatenate([np.unpackbits(np.frombuffer(h, dtype=np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for h in halves])
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = np.array([_group_prints(x.as_py()) for x in batch.column("text")], dtype=np.int64).reshape(-1, GROUPS)
+        yield pa.RecordBatch.from_arrays([batch.column("t"), *(pa.array(made[:, g]) for g in range(GROUPS))], names=["t", *(f"p{g}" for g in range(GROUPS))])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(x.as_py(), words)])).view(np.int64) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(sets, pa.list_(pa.int64()))], names=["t", "shingles"])
+
+
+def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(t, root) for the texts of ``rows`` (t, text) that have a near copy; t is a hash of the text.
+
+    Near copies have a Jaccard similarity of ``similarity`` or more on their distinct shingles of ``words`` words, A-Z
+    lower-cased; a shorter text is one shingle, a text without words has none and is like no other.  With eight 32-bit
+    fingerprints, a pair within 23 bits of 256 differs by at most 2 bits in one of them and is linked there.
+    """
+    columns = [f"p{g}" for g in range(GROUPS)]
+    prints = rows.mapInArrow(_printed, "t long, " + ", ".join(f"{c} long" for c in columns))
+    prints = staged(prints.groupBy("t").agg(*[F.max(c).alias(c) for c in columns]), "near-prints")
+    each = prints.select("t", F.posexplode(F.array(*columns)).alias("g", "fp"))
+    values = staged(each.groupBy("g", "fp").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("n")), "near-values")
+    shared = each.join(values.filter("n > 1").select("g", "fp", "least"), ["g", "fp"]).filter("t <> least").select(F.col("least").alias("a"), F.col("t").alias("b"))
+    near = links(values.select("g", "fp"), NARROW, ("g",), chained=True)
+    for side in "ab":
+        near = near.join(values.select(F.col("g"), F.col("fp").alias(side), F.col("least").alias(f"{side}{side}")), ["g", side])
+    near = near.select(F.col("aa").alias("a"), F.col("bb").alias("b"))
+    pairs = staged(shared.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    asked = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+    sets = rows.join(asked, "t", "left_semi").mapInArrow(partial(_shingled, words=words), "t long, shingles array<bigint>")
+    sets = staged(sets.filter("size(shingles) > 0"), "near-sets").dropDuplicates(["t"])
+    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
+    return connected_components(alike.select("a", "b")).withColumnRenamed("node", "t")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, one per group of equal or similar texts: the one of the smallest id, null last.
+
+    All columns are kept.  Null texts are a group, equal to the empty text.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("t"), text.alias("text"))
+    roots = similar_texts(rows, words=words, similarity=similarity)
+    keyed = staged(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), *[c.alias(n) for c, n in zip(row_key(docs), ("k1", "k2"), strict=True)]), "near-keys")
+    # Equal texts are folded before the join, so that a hot text is one row of it.
+    best = keyed.groupBy("t").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "k1", "k2")).alias("best"))
+    least = best.join(roots, "t", "left").groupBy(F.coalesce("root", "t").alias("root")).agg(F.min("best").alias("best"))
+    plan = least.select("best.k1", "best.k2", F.lit(1).cast("long").alias("total"))
+    counts = keyed.join(plan.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    return repeat_rows(docs, plan.join(counts, ["k1", "k2"]))
