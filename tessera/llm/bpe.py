@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 START = -1
 #: Transitions, token pairs and whole pieces a worker keeps; pieces of a text taken at once.
-MAX_TRANSITIONS, MAX_PAIRS, MAX_PIECES, RUN = 300_000, 400_000, 500_000, 1 << 17
+MAX_TRANSITIONS, MAX_SEEN, MAX_PAIRS, MAX_PIECES, RUN = 200_000, 300_000, 500_000, 300_000, 1 << 17
+#: Bytes at the end of a piece that may be read without making states.
+TAIL = 64
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -104,14 +106,13 @@ class Transducer:
         self.numbers: dict[State, int] = {first: 0}
         self.states: list[State] = [first]
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.seen: set[int] = set()
 
     def _halves(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes ``token``; twice itself for a byte; None if the merges never make it."""
-        if token not in self.split:
-            data = self.token[token]
-            parts = merge(data, self.ranks, below=token) if len(data) > 1 else [token, token]
-            self.split[token] = (parts[0], parts[1]) if len(parts) == 2 else None
-        return self.split[token]
+        """The two tokens whose merge makes ``token``; None if the merges never make it."""
+        parts = merge(self.token[token], self.ranks, below=token)
+        made = self.split[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return made
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the merges leave ``right`` as a token after ``left``, or at the start."""
@@ -120,27 +121,33 @@ class Transducer:
         if known is None:
             if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._halves(right) is not None and (left == START or not self._joined(left, right))
+            made = len(self.token[right]) == 1 or (self.split[right] if right in self.split else self._halves(right)) is not None
+            known = self.pairs[key] = made and (left == START or not self._joined(left, right))
         return known
 
     def _joined(self, left: int, right: int) -> bool:
         """Whether a merge crosses the border of two tokens: their merges next to it are undone, the latest first, and
         while two parts stood side by side no token of both may have had its turn.  Of equal ranks the leftmost comes first."""
-        turn = len(self.ranks) + 2
+        token, rank_of, split = self.token, self.ranks.get, self.split
+        turn, a, b = len(self.ranks) + 2, token[left], token[right]
         while True:
-            across = self.ranks.get(self.token[left] + self.token[right])
+            across = rank_of(a + b)
             if across is not None and across < turn:
                 return True
-            halves_left, halves_right = self._halves(left), self._halves(right)
-            if halves_left is None or halves_right is None:
-                return True
-            byte_left, byte_right = len(self.token[left]) == 1, len(self.token[right]) == 1
-            if byte_left and byte_right:
+            if len(b) == 1 and len(a) == 1:
                 return False
-            if byte_right or (not byte_left and left > right):
-                turn, left = left, halves_left[1]
+            if len(b) == 1 or (len(a) > 1 and left > right):
+                halves = split[left] if left in split else self._halves(left)
+                if halves is None:
+                    return True
+                turn, left = left, halves[1]
+                a = token[left]
             else:
-                turn, right = right + 1, halves_right[0]
+                halves = split[right] if right in split else self._halves(right)
+                if halves is None:
+                    return True
+                turn, right = right + 1, halves[0]
+                b = token[right]
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         open_, whole, children, ends = [], None, self.child, self.ends
@@ -172,9 +179,18 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if len(self.steps) > MAX_TRANSITIONS:
             self._forget()
+        elif len(self.seen) > MAX_SEEN:
+            self.seen.clear()
         at, out, steps = 0, [], self.steps
-        for byte in piece:
-            found = steps.get(at << 8 | byte) or self._step(at, byte)
+        for i, byte in enumerate(piece):
+            found = steps.get(at << 8 | byte)
+            if found is None:
+                # A transition is made when it is needed a second time; before, the piece ends on the hypotheses themselves.
+                key = at << 8 | byte
+                if key not in self.seen and len(piece) - i <= TAIL:
+                    self.seen.add(key)
+                    return out + self._rest(self.states[at], piece[i:])
+                found = self._step(at, byte)
             at = found[0]
             if found[1]:
                 out += found[1]
@@ -187,20 +203,48 @@ class Transducer:
                     self.states.append(state)
         return out + list(self.states[at][-1][1][1:])
 
+    def _rest(self, open_: State | list[tuple[int, tuple[int, ...]]], data: bytes) -> list[int]:
+        """The tokens from a state to the end of a piece, by its hypotheses, without a new state."""
+        children, ends, pairs = self.child.get, self.ends, self.pairs.get
+        whole: tuple[int, ...] = ()
+        for byte in data:
+            then, whole = [], ()
+            for node, tokens in open_:
+                child = children(node << 8 | byte)
+                if child is not None:
+                    then.append((child, tokens))
+                    if not whole and (end := ends[child]) != START:
+                        fits = pairs((tokens[-1] + 1) << 20 | end)
+                        if self.may_follow(tokens[-1], end) if fits is None else fits:
+                            whole = (*tokens, end)
+            then.append((0, whole))
+            open_ = then
+        return list(whole[1:])
+
 
 class Pieces(dict):
-    """Token ids by piece; a piece that isn't there yet goes through the transducer."""
+    """Token ids by piece; a piece that isn't there yet goes through the transducer.
+
+    There are two generations: when the young one is full it becomes the old one, so what is in use stays.
+    """
 
     def __init__(self, transducer: Transducer) -> None:
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.old = transducer, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.transducer.encode(piece.encode("utf-8")))
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = tuple(self.transducer.encode(piece.encode("utf-8")))
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def trim(self) -> None:
+        if len(self) > MAX_PIECES:
+            self.old = dict(self)
+            self.clear()
+
 
 class Utf8Stream:
     """Decodes bytes that come in arbitrary parts; a sequence cut off at the end of a part waits for the next."""
@@ -248,8 +292,7 @@ class Codec:
         """The ids of a text, in lists of bounded size."""
         found = iter(self.split.findall(text)) if len(text) <= RUN else (m.group() for m in self.split.finditer(text))
         while run := list(islice(found, RUN)):
-            if len(self.pieces) > MAX_PIECES:
-                self.pieces.clear()
+            self.pieces.trim()
             yield list(chain.from_iterable(map(self.pieces.__getitem__, run)))
 
     def encode(self, text: str) -> list[int]:
