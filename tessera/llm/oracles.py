@@ -1,3 +1,134 @@
 """DuckDB SQL with the same results as the queries of this subpackage, where SQL can express them."""
 
-SQL: dict[str, str] = {}
+from tessera.llm.licences import RULES, SENTENCES
+
+_QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, lang, source FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+pos AS (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS s FROM pos),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM win) WHERE c > 1),
+gaps AS (SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), i + 8) - i) AS g FROM rep),
+cov AS (SELECT rid, CAST(sum(g) AS BIGINT) AS r FROM gaps GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS s FROM d),
+dup AS (SELECT rid, count(*) FILTER (regexp_matches(s, '[^\x20\x09-\x0D]')) - count(DISTINCT s) FILTER (regexp_matches(s, '[^\x20\x09-\x0D]')) AS dl, count(*) AS nl FROM lines GROUP BY rid),
+base AS (
+  SELECT d.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(dl AS BIGINT) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, nl,
+    length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS caps
+  FROM d JOIN w USING (rid) JOIN dup USING (rid) LEFT JOIN cov USING (rid)),
+metric AS (
+  SELECT rid, lang, source, 0 AS m, least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS v FROM base
+  UNION ALL SELECT rid, lang, source, 1, least(1000, 1000 * n_dup_lines // greatest(nl, 1)) FROM base
+  UNION ALL SELECT rid, lang, source, 2, least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) FROM base
+  UNION ALL SELECT rid, lang, source, 3, least(1000, 10 * word_chars // greatest(n_words, 1)) FROM base
+  UNION ALL SELECT rid, lang, source, 4, least(1000, 1000 * caps // greatest(word_chars, 1)) FROM base),
+ranked AS (
+  SELECT lang, source, m, v,
+    count(*) OVER (PARTITION BY lang, source, m ORDER BY v) AS r0, count(*) OVER (PARTITION BY lang, source, m) AS n0,
+    count(*) OVER (PARTITION BY lang, m ORDER BY v) AS r1, count(*) OVER (PARTITION BY lang, m) AS n1,
+    count(*) OVER (PARTITION BY m ORDER BY v) AS r2, count(*) OVER (PARTITION BY m) AS n2
+  FROM metric),
+own AS (SELECT lang, source, m, max(n0) AS n0, max(n1) AS n1, min(CASE WHEN 4 * r0 >= n0 THEN v END) AS lo0, min(CASE WHEN 4 * r0 >= 3 * n0 THEN v END) AS hi0 FROM ranked GROUP BY ALL),
+of_lang AS (SELECT lang, m, min(CASE WHEN 4 * r1 >= n1 THEN v END) AS lo1, min(CASE WHEN 4 * r1 >= 3 * n1 THEN v END) AS hi1 FROM ranked GROUP BY ALL),
+of_all AS (SELECT m, min(CASE WHEN 4 * r2 >= n2 THEN v END) AS lo2, min(CASE WHEN 4 * r2 >= 3 * n2 THEN v END) AS hi2 FROM ranked GROUP BY ALL),
+picked AS (
+  SELECT own.lang, own.source, own.m,
+    CASE WHEN n0 >= 100 THEN lo0 WHEN n1 >= 100 THEN lo1 ELSE lo2 END AS lo,
+    CASE WHEN n0 >= 100 THEN hi0 WHEN n1 >= 100 THEN hi1 ELSE hi2 END AS hi
+  FROM own JOIN of_lang ON own.lang IS NOT DISTINCT FROM of_lang.lang AND own.m = of_lang.m JOIN of_all ON own.m = of_all.m),
+limits AS (SELECT lang, source, m, hi + greatest([40, 400, 300, 40, 450][m + 1], 6 * (hi - lo)) AS lim FROM picked),
+fine AS (
+  SELECT metric.rid, bool_and(v <= lim) AS ok FROM metric
+  JOIN limits ON metric.lang IS NOT DISTINCT FROM limits.lang AND metric.source IS NOT DISTINCT FROM limits.source AND metric.m = limits.m GROUP BY metric.rid),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base JOIN fine USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM judged
+"""
+
+_URLS = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS u,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+lab AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS b FROM labels GROUP BY doc_id),
+h AS (SELECT host, count(b) AS n, coalesce(CAST(sum(b) AS BIGINT), 0) AS bad FROM p LEFT JOIN lab ON page_id = doc_id GROUP BY host),
+named AS (
+  SELECT *, regexp_replace(host, ':\d*$', '') AS nm FROM h),
+parts AS (
+  SELECT host, n, bad,
+    array_to_string(string_split(nm, '.')[greatest(1, len(string_split(nm, '.')) - CASE WHEN two THEN 2 ELSE 1 END):], '.') AS domain,
+    array_to_string(string_split(nm, '.')[greatest(1, len(string_split(nm, '.')) - CASE WHEN two THEN 1 ELSE 0 END):], '.') AS suffix
+  FROM (SELECT *, array_to_string(string_split(nm, '.')[greatest(1, len(string_split(nm, '.')) - 1):], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'ne.jp', 'or.jp', 'co.kr', 'com.br', 'com.cn', 'com.mx', 'co.in', 'co.za', 'com.tr', 'com.tw', 'com.sg') AS two FROM named)),
+s AS (
+  SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS nn, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bb, CAST(coalesce(sum(n * n), 0) AS DOUBLE) AS n2,
+    CAST(count(*) FILTER (n > 0) AS DOUBLE) AS k, coalesce(sum(CASE WHEN n > 0 THEN CAST(bad * bad AS DOUBLE) / n ELSE 0.0 END), 0.0) AS ss
+  FROM parts),
+v AS (SELECT *, (ss - bb * bb / nn) / (k - 1) AS btw, (bb - ss) / (nn - k) AS wit, (nn - n2 / nn) / (k - 1) AS sz FROM s),
+one AS (
+  SELECT CASE WHEN k > 1 AND nn > k AND wit > 0 THEN
+      CASE WHEN btw <= wit THEN 1000.0 ELSE greatest(1.0, least(1000.0, round((1 - (btw - wit) / (btw + (sz - 1) * wit)) / ((btw - wit) / (btw + (sz - 1) * wit)), 3))) END
+    ELSE 10.0 END AS m, CASE WHEN nn > 0 THEN bb / nn ELSE 0.5 END AS mean0 FROM v),
+sx AS (SELECT suffix, (sum(bad) + any_value(m) * any_value(mean0)) / (sum(n) + any_value(m)) AS mean1 FROM parts, one GROUP BY suffix),
+dm AS (SELECT domain, (sum(bad) + any_value(m) * any_value(mean1)) / (sum(n) + any_value(m)) AS mean2 FROM parts JOIN sx USING (suffix), one GROUP BY domain, suffix),
+hm AS (SELECT host, n, m, (bad + m * mean2) / (n + m) AS mean FROM parts JOIN dm USING (domain), one),
+hb AS (SELECT host, mean, greatest(0.0, mean - 2.0 * sqrt(mean * (1 - mean) / (n + m + 1))) AS bound FROM hm),
+r AS (
+  SELECT page_id, host, path, mean, bound,
+    CASE
+      WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
+    END AS rule
+  FROM p JOIN hb USING (host))
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
+  round(mean, 6) AS bad_mean, round(bound, 6) AS bad_bound
+FROM r
+"""
+
+
+def _licences() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES)
+    steps, left = [], "left0"
+    for i, (_, sequence) in enumerate(RULES):
+        part = "".join(f"|{x}|" for x in sequence)
+        steps.append(f"step{i + 1} AS (SELECT * EXCLUDE ({left}), contains({left}, '{part}') AS hit{i}, replace({left}, '{part}', '-') AS left{i + 1} FROM step{i})")
+        left = f"left{i + 1}"
+    names = ", ".join(f"CASE WHEN hit{i} THEN '{name}' END" for i, (name, _) in enumerate(RULES))
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT rid, string_split(regexp_replace(regexp_replace(t, '([.!?;:])([\x20\x09\x0B-\x0D])', chr(10) || '\2', 'g'), '[.!?;:](\n|$)', chr(10), 'g'), chr(10)) AS parts FROM d),
+each AS (SELECT rid, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
+norm AS (SELECT rid, i, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s FROM each),
+found AS (SELECT rid, list(id ORDER BY i) AS ids FROM norm JOIN known ON s = sentence GROUP BY rid),
+step0 AS (SELECT doc_id, coalesce(ids, []) AS ids, CASE WHEN ids IS NULL THEN '' ELSE '|' || array_to_string(ids, '||') || '|' END AS left0 FROM d LEFT JOIN found USING (rid)),
+{", ".join(steps)}
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+  array_to_string(list_sort(list_distinct([x FOR x IN [{names}] IF x IS NOT NULL])), ',') AS licences
+FROM step{len(RULES)}
+"""
+
+
+_CHAT = r"""
+WITH t AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, CASE WHEN conv_id IS NULL THEN 'single' WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role, text FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position FROM t),
+met AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.position, r.position) AS position, c.pair_id IS NOT NULL AS has_c, r.pair_id IS NOT NULL AS has_r,
+    c.pair_id IS NOT NULL AND r.pair_id IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS same
+  FROM (SELECT * FROM p WHERE side = 'chosen') c FULL JOIN (SELECT * FROM p WHERE side = 'rejected') r ON c.pair_id = r.pair_id AND c.position = r.position),
+ends AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN position END), max(position) + 1) AS fork, bool_or(has_c) AND bool_or(has_r) AS paired FROM met GROUP BY pair_id),
+j AS (SELECT p.*, fork, coalesce(paired, FALSE) AS paired FROM p LEFT JOIN ends ON p.pair_id = ends.pair_id)
+SELECT pair_id, CASE WHEN NOT paired THEN 'single' WHEN position < fork THEN 'prompt' ELSE side END AS part, CAST(position AS BIGINT) AS position, role,
+  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS content,
+  paired AND position >= fork AND coalesce(role = 'assistant', FALSE) AS loss
+FROM j WHERE NOT paired OR position >= fork OR side = 'chosen'
+"""
+
+SQL: dict[str, str] = {"op4_quality_rules": _QUALITY, "op5_url_filters": _URLS, "op6_licence_scans": _licences(), "op9_chat_formatting": _CHAT}
