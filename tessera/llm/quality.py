@@ -60,39 +60,41 @@ def n_dup_lines(text: Column) -> Column:
 
 
 def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the five metrics, under reserved names."""
+    """``docs`` with a struct of the counts and the five metrics in a reserved column.
+
+    The struct comes out of a generator, so that the planner neither computes it twice nor moves a filter on it below.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    solid = F.regexp_replace(text, f"[{SPACES}]+", "")
-    counts = docs.withColumns(
-        {
-            f"{OWN}words": let(word_array(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("r"))),
-            f"{OWN}chars": F.length(solid).cast("long"),
-            f"{OWN}symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
-            f"{OWN}lines": n_dup_lines(text),
-            f"{OWN}caps": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"),
-            f"{OWN}n_lines": F.size(F.split(text, "\n")).cast("long"),
-        }
-    )
-    words, chars = F.col(f"{OWN}words.n"), F.col(f"{OWN}chars")
     per_mille = lambda part, whole: F.least(F.lit(BINS - 1), F.floor(F.lit(1000) * part / F.greatest(whole, F.lit(1)))).cast("int")
-    return counts.withColumn(
-        f"{OWN}metrics",
-        F.array(
-            per_mille(F.col(f"{OWN}symbols"), chars),
-            per_mille(F.col(f"{OWN}lines"), F.col(f"{OWN}n_lines")),
-            per_mille(F.col(f"{OWN}words.r"), words),
-            F.least(F.lit(BINS - 1), F.floor(F.lit(10) * chars / F.greatest(words, F.lit(1)))).cast("int"),
-            per_mille(F.col(f"{OWN}caps"), chars),
-        ),
+    counts = F.struct(
+        let(word_array(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("r"))).alias("words"),
+        F.length(F.regexp_replace(text, f"[{SPACES}]+", "")).cast("long").alias("chars"),
+        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("symbols"),
+        n_dup_lines(text).alias("lines"),
+        F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("caps"),
+        F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
     )
 
+    def complete(c: Column) -> Column:
+        words, chars = c["words"]["n"], c["chars"]
+        metrics = F.array(
+            per_mille(c["symbols"], chars),
+            per_mille(c["lines"], c["n_lines"]),
+            per_mille(c["words"]["r"], words),
+            F.least(F.lit(BINS - 1), F.floor(F.lit(10) * chars / F.greatest(words, F.lit(1)))).cast("int"),
+            per_mille(c["caps"], chars),
+        )
+        return F.struct(words.alias("n_words"), c["words"]["r"].alias("n_repeat_words"), chars.alias("chars"), c["symbols"].alias("symbols"), c["lines"].alias("lines"), metrics.alias("metrics"))
+
+    return docs.withColumn(OWN, F.explode(F.transform(F.array(counts), complete)))
+
 
 def sketches(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, metric, value, n): the counters of the sketches.
 
     Partial counts merge before the shuffle, so a hot source sends at most BINS counters per metric and task.
     """
-    metric = F.posexplode(f"{OWN}metrics").alias("metric", "value")
+    metric = F.posexplode(f"{OWN}.metrics").alias("metric", "value")
     return measured.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), metric).groupBy("lang", "source", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -123,9 +125,11 @@ def judged(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", sourc
     """``measured`` with the columns base_failed and kept, under reserved names."""
     lim = limits.select(F.col("lang").alias(f"{OWN}l"), F.col("source").alias(f"{OWN}s"), F.col("limits").alias(f"{OWN}limits"))
     on = F.col(lang_col).eqNullSafe(F.col(f"{OWN}l")) & F.col(source_col).eqNullSafe(F.col(f"{OWN}s"))
-    words = F.col(f"{OWN}words")
-    base_failed = (words["n"] < 20) | (100 * words["r"] > 30 * words["n"])
-    within = F.forall(F.arrays_zip(F.col(f"{OWN}metrics").alias("v"), F.col(f"{OWN}limits").alias("m")), lambda x: x["v"] <= x["m"])
+    words, repeated = F.col(f"{OWN}.n_words"), F.col(f"{OWN}.n_repeat_words")
+    base_failed = (words < 20) | (100 * repeated > 30 * words)
+    within = F.lit(True)
+    for i in range(len(METRICS)):
+        within = within & (F.get(f"{OWN}.metrics", F.lit(i)) <= F.get(f"{OWN}limits", F.lit(i)))
     return measured.join(lim, on).withColumn(f"{OWN}failed", base_failed).withColumn(f"{OWN}kept", ~F.col(f"{OWN}failed") & within)
 
 
@@ -141,11 +145,11 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     out = judged(measured, limits)
     return out.select(
         "doc_id",
-        F.col(f"{OWN}words.n").alias("n_words"),
-        F.col(f"{OWN}chars").alias("word_chars"),
-        F.col(f"{OWN}symbols").alias("n_symbols"),
-        F.col(f"{OWN}lines").alias("n_dup_lines"),
-        F.col(f"{OWN}words.r").alias("n_repeat_words"),
+        F.col(f"{OWN}.n_words").alias("n_words"),
+        F.col(f"{OWN}.chars").alias("word_chars"),
+        F.col(f"{OWN}.symbols").alias("n_symbols"),
+        F.col(f"{OWN}.lines").alias("n_dup_lines"),
+        F.col(f"{OWN}.n_repeat_words").alias("n_repeat_words"),
         F.col(f"{OWN}failed").alias("base_failed"),
         F.col(f"{OWN}kept").alias("kept"),
     )
