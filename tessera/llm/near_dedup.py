@@ -90,8 +90,10 @@ def signed(x: int) -> int:
 
 
 def cell_of(fp: Column, segments: tuple[int, ...]) -> Column:
-    """The popcount vector as a long: the bit count of each segment in a lane of two bits."""
-    out, start = F.lit(0).cast("long"), 0
+    """The popcount vector as a long: the bit count of each segment in a lane of two bits; bits above the segments stay."""
+    bits, out, start = sum(segments), F.lit(0).cast("long"), 0
+    if bits < 64:
+        out = fp.bitwiseAND(F.lit(signed(((1 << 64) - 1) >> bits << bits)))
     for i, width in enumerate(segments):
         mask = F.lit(signed(((1 << width) - 1) << start))
         out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseAND(mask)).cast("long"), 2 * i))
@@ -100,12 +102,12 @@ def cell_of(fp: Column, segments: tuple[int, ...]) -> Column:
 
 
 def cells_near(cell: Column, segments: tuple[int, ...]) -> Column:
-    """The cell and every cell at Manhattan distance 1 that some fingerprint could lie in."""
+    """The cell and every cell at Manhattan distance 1 that some fingerprint could lie in, with nulls between them."""
     out = [cell]
     for i, width in enumerate(segments):
         one, lane = F.lit(1 << 2 * i), F.shiftright(cell, 2 * i).bitwiseAND(F.lit(3))
         out += [F.when(lane < width, cell + one), F.when(lane > 0, cell - one)]
-    return F.array_compact(F.array(*out))
+    return F.array(*out)
 
 
 def values_near(fp: Column, bits: int) -> Column:
@@ -113,23 +115,25 @@ def values_near(fp: Column, bits: int) -> Column:
     return F.array(fp, *[fp.bitwiseXOR(F.lit(signed(1 << i))) for i in range(bits)])
 
 
-def links(distinct: DataFrame, segments: tuple[int, ...] = WIDE, by: tuple[str, ...] = (), chained: bool = False) -> DataFrame:
-    """Edges (by, a, b) that connect the distinct fingerprints ``fp`` of each ``by`` within 2 bits.
+def links(distinct: DataFrame, segments: tuple[int, ...] = WIDE, chained: bool = False) -> DataFrame:
+    """Edges (a, b) that connect the distinct values ``fp`` within 2 bits of each other in the segments' bits.
 
-    They are not every pair, but give the same components.  ``chained`` adds edges between neighbours in a bucket.
+    They are not every pair, but give the same components.  ``chained`` adds edges between neighbours in a bucket.  Bits
+    above the segments tell groups apart that have nothing to do with each other.
     """
     bits = sum(segments)
-    cells = distinct.select(*by, "fp", F.explode(cells_near(cell_of(F.col("fp"), segments), segments)).alias("cell"))
-    filled = staged(cells.groupBy(*by, "cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-cells")
+    own = distinct.select("fp", cell_of(F.col("fp"), segments).alias("own"))
+    cells = own.select("fp", F.explode(cells_near(F.col("own"), segments)).alias("cell")).filter("cell is not null")
+    filled = staged(cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-cells")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    pairs = filled.filter((F.col("n") == 2) & close).select(*by, "a", "b").distinct()
-    crowded = cells.join(filled.filter("n > 2").select(*by, "cell"), [*by, "cell"], "left_semi").select(*by, "fp").distinct()
-    met = crowded.select(*by, "fp", F.explode(values_near(F.col("fp"), bits)).alias("value")).groupBy(*by, "value").agg(F.array_sort(F.collect_set("fp")).alias("fps")).filter("size(fps) > 1")
+    pairs = filled.filter((F.col("n") == 2) & close).select("a", "b").distinct()
+    crowded = cells.join(filled.filter("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
+    met = crowded.select("fp", F.explode(values_near(F.col("fp"), bits)).alias("value")).groupBy("value").agg(F.array_sort(F.collect_set("fp")).alias("fps")).filter("size(fps) > 1")
     rest = F.slice("fps", 2, bits)
     edges = F.transform(rest, lambda b: F.struct(F.col("fps")[0].alias("a"), b.alias("b")))
     if chained:
         edges = F.concat(edges, F.transform(F.slice("fps", 3, bits), lambda b, i: F.struct(F.get(rest, i).alias("a"), b.alias("b"))))
-    stars = met.select(*by, F.explode(edges).alias("e")).select(*by, "e.a", "e.b").filter(close).distinct()
+    stars = met.select(F.explode(edges).alias("e")).select("e.a", "e.b").filter(close).distinct()
     return pairs.union(stars)
 
 
@@ -199,12 +203,13 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     columns = [f"p{g}" for g in range(GROUPS)]
     prints = rows.mapInArrow(_printed, "t long, " + ", ".join(f"{c} long" for c in columns))
     prints = staged(prints.groupBy("t").agg(*[F.max(c).alias(c) for c in columns]), "near-prints")
-    each = prints.select("t", F.posexplode(F.array(*columns)).alias("g", "fp"))
-    values = staged(each.groupBy("g", "fp").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("n")), "near-values")
-    shared = each.join(values.filter("n > 1").select("g", "fp", "least"), ["g", "fp"]).filter("t <> least").select(F.col("least").alias("a"), F.col("t").alias("b"))
-    near = links(values.select("g", "fp"), NARROW, ("g",), chained=True)
+    # The number of the fingerprint goes above its 32 bits.
+    each = prints.select("t", F.explode(F.array(*[F.col(c).bitwiseOR(F.lit(g << 32)) for g, c in enumerate(columns)])).alias("fp"))
+    values = staged(each.groupBy("fp").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("n")), "near-values")
+    shared = each.join(values.filter("n > 1").select("fp", "least"), "fp").filter("t <> least").select(F.col("least").alias("a"), F.col("t").alias("b"))
+    near = links(values.select("fp"), NARROW, chained=True)
     for side in "ab":
-        near = near.join(values.select(F.col("g"), F.col("fp").alias(side), F.col("least").alias(f"{side}{side}")), ["g", side])
+        near = near.join(values.select(F.col("fp").alias(side), F.col("least").alias(f"{side}{side}")), side)
     near = near.select(F.col("aa").alias("a"), F.col("bb").alias("b"))
     pairs = staged(shared.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     asked = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
