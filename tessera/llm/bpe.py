@@ -20,15 +20,18 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START = -1
-#: Transitions, token pairs and whole pieces a worker keeps; pieces of a text taken at once.
-MAX_TRANSITIONS, MAX_SEEN, MAX_PAIRS, MAX_PIECES, RUN = 200_000, 300_000, 500_000, 300_000, 1 << 17
+#: Transitions, those asked for once, and token pairs a worker keeps; pieces of a text taken at once.
+MAX_TRANSITIONS, MAX_SEEN, MAX_PAIRS, RUN = 100_000, 200_000, 300_000, 1 << 17
 #: Bytes at the end of a piece that may be read without making states.
 TAIL = 64
+#: Rows of token lists made at once.
+SLICE = 256
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -47,14 +50,14 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 30) -> list[i
     return [ranks[p] for p in parts]
 
 
-def explicit_pattern(pattern: str) -> str:
+def explicit_pattern(pattern: str, last: int = sys.maxunicode) -> str:
     """``pattern`` with its classes of letters, numbers and white space spelled out as ranges, for the faster module re.
 
-    Ranges come from the categories of this Python's Unicode tables.
+    Ranges come from the categories of this Python's Unicode tables, as far as code point ``last``.
     """
     wanted = {r"\p{L}": "L", r"\p{N}": "N", r"\s": ""}
     spans: dict[str, list[list[int]]] = {name: [] for name in wanted}
-    for point in range(sys.maxunicode + 1):
+    for point in range(last + 1):
         kind = unicodedata.category(chr(point))
         # White space: the separators and the controls from tab to carriage return and next line.
         space = kind[0] == "Z" or 9 <= point <= 13 or point == 0x85
@@ -228,9 +231,9 @@ class Pieces(dict):
     There are two generations: when the young one is full it becomes the old one, so what is in use stays.
     """
 
-    def __init__(self, transducer: Transducer) -> None:
+    def __init__(self, transducer: Transducer, kept: int) -> None:
         super().__init__()
-        self.transducer, self.old = transducer, {}
+        self.transducer, self.kept, self.old = transducer, kept, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece)
@@ -241,7 +244,7 @@ class Pieces(dict):
         return ids
 
     def trim(self) -> None:
-        if len(self) > MAX_PIECES:
+        if len(self) > self.kept:
             self.old = dict(self)
             self.clear()
 
@@ -281,16 +284,18 @@ class Utf8Stream:
 class Codec:
     """Encodes and decodes texts with one vocabulary."""
 
-    def __init__(self, data: bytes, pattern: str) -> None:
+    def __init__(self, data: bytes, pattern: str, kept: int = 100_000) -> None:
         self.transducer = Transducer(read_ranks(data))
-        self.pieces = Pieces(self.transducer)
+        self.pieces = Pieces(self.transducer, kept)
         self.bytes_of = [self.transducer.token.get(i, b"") for i in range(max(self.transducer.token) + 1)]
         self.digits_of = [str(i) for i in range(len(self.bytes_of))]
-        self.split = re.compile(explicit_pattern(pattern))
+        self.split, self.split_low = re.compile(explicit_pattern(pattern)), re.compile(explicit_pattern(pattern, 0xFFFF))
 
     def encode_runs(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, in lists of bounded size."""
-        found = iter(self.split.findall(text)) if len(text) <= RUN else (m.group() for m in self.split.finditer(text))
+        # Ranges beyond 16 bits slow every match; few texts need them.
+        split = self.split_low if len(text.encode("utf-16-le")) == 2 * len(text) else self.split
+        found = iter(split.findall(text)) if len(text) <= RUN else (m.group() for m in split.finditer(text))
         while run := list(islice(found, RUN)):
             self.pieces.trim()
             yield list(chain.from_iterable(map(self.pieces.__getitem__, run)))
@@ -309,9 +314,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(data: bytes, pattern: str) -> Codec:
+def codec(data: bytes, pattern: str, kept: int) -> Codec:
     """One per worker process and vocabulary."""
-    return Codec(data, pattern)
+    return Codec(data, pattern, kept)
 
 
 def digests(one: Codec, text: str | None) -> tuple[int, str, str]:
@@ -331,9 +336,9 @@ def digests(one: Codec, text: str | None) -> tuple[int, str, str]:
     return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
-def _coder(vocabulary, pattern: str, text_col: str, drop: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _coder(vocabulary, pattern: str, kept: int, text_col: str, drop: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = codec(vocabulary.value, pattern)
+        one = codec(vocabulary.value, pattern, kept)
         for batch in batches:
             made = [digests(one, x.as_py()) for x in batch.column(text_col)]
             rest = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if not (drop and n == text_col)]
@@ -343,36 +348,38 @@ def _coder(vocabulary, pattern: str, text_col: str, drop: bool) -> Callable[[Ite
     return coded
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", kept_pieces: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     A null text counts as empty: no token, and the digests of nothing.  Repeated rows each get a row; an empty table gives
     an empty table.  Other columns are not read.  The driver reads the vocabulary file, whose size is fixed, and sends it
-    to each executor once.
+    to each executor once.  ``kept_pieces``: pieces a worker remembers in each of two generations, some 250 bytes each.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     with open(vocabulary_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_coder(vocabulary, pattern, "text", True), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_coder(vocabulary, pattern, kept_pieces, "text", True), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _token_lists(vocabulary, pattern: str, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _token_lists(vocabulary, pattern: str, kept: int, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = codec(vocabulary.value, pattern)
-        for batch in batches:
+        one = codec(vocabulary.value, pattern, kept)
+        for batch in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             lists, whole = [], []
             for x in batch.column(text_col):
                 text = x.as_py() or ""
                 ids = one.encode(text)
-                lists.append(ids)
+                lists.append(pa.array(ids, pa.int32()))
                 whole.append(one.decode(ids) == text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32())), pa.array(whole, pa.bool_())], names=[*batch.schema.names, "token_ids", "round_trip"])
+            ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+            column = pa.ListArray.from_arrays(ends, pa.concat_arrays(lists))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column, pa.array(whole, pa.bool_())], names=[*batch.schema.names, "token_ids", "round_trip"])
 
     return coded
 
 
-def tokenised_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
+def tokenised_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, text_col: str = "text", kept_pieces: int = 100_000) -> DataFrame:
     """The rows of ``docs`` with token_ids (integers) and round_trip (whether decoding gives the text back) added.
 
     Columns of those names are replaced.
@@ -383,4 +390,4 @@ def tokenised_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *,
     with open(vocabulary_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([*rows.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
-    return rows.mapInArrow(_token_lists(vocabulary, pattern, text_col), schema)
+    return rows.mapInArrow(_token_lists(vocabulary, pattern, kept_pieces, text_col), schema)
