@@ -107,7 +107,8 @@ def near_counts(prints: DataFrame, queries: DataFrame) -> DataFrame:
     apart = F.col("q").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(masks)])
     close = (F.col("t") == F.col("t2")) & (F.col("k") == F.col("k2")) & (F.bit_count(apart) <= RADIUS) & (first == F.col("t"))
-    return left.join(right, close).groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("near"))
+    # Merged, not broadcast: the keys of the queries grow with the corpus.
+    return left.hint("merge").join(right, close).groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("near"))
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", query_every: int = 20, bucket_rows: int = 1024) -> DataFrame:
