@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import only_cache_of, prepare_workers
+
 START = -1
 #: Transitions, those asked for once, and token pairs a worker keeps; pieces of a text taken at once.
 MAX_TRANSITIONS, MAX_SEEN, MAX_PAIRS, RUN = 100_000, 200_000, 300_000, 1 << 17
@@ -313,7 +315,7 @@ class Codec:
         return "".join(self.decode_runs([ids]))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(data: bytes, pattern: str, kept: int) -> Codec:
     """One per worker process and vocabulary."""
     return Codec(data, pattern, kept)
@@ -338,6 +340,7 @@ def digests(one: Codec, text: str | None) -> tuple[int, str, str]:
 
 def _coder(vocabulary, pattern: str, kept: int, text_col: str, drop: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache_of("bpe", codec.cache_clear)
         one = codec(vocabulary.value, pattern, kept)
         for batch in batches:
             made = [digests(one, x.as_py()) for x in batch.column(text_col)]
@@ -356,6 +359,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, id_
     to each executor once.  ``kept_pieces``: pieces a worker remembers in each of two generations, some 250 bytes each.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prepare_workers(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -364,6 +368,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *, id_
 
 def _token_lists(vocabulary, pattern: str, kept: int, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache_of("bpe", codec.cache_clear)
         one = codec(vocabulary.value, pattern, kept)
         for batch in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             lists, whole = [], []
@@ -387,6 +392,7 @@ def tokenised_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *,
     from pyspark.sql import types as T
 
     rows = docs.drop("token_ids", "round_trip")
+    prepare_workers(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([*rows.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,44 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prepare_workers(spark: SparkSession, rows: int = 512) -> None:
+    """Make this package known to the Python workers, and send them texts in batches of at most ``rows``.
+
+    The package goes to the shared folder as an archive once per context, so that workers need neither an installed copy
+    nor a search path.  A batch of whole texts is held several times at once, hence the smaller batches.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+    context, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(context, f"{OWN}sent", False) or not package.is_dir():
+        return
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    path = f"{shared_dir(spark)}/{package.name}-{uuid.uuid4().hex}.zip"
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    stream = system.create(place)
+    stream.write(bytearray(archive.getvalue()))
+    stream.close()
+    context.addPyFile(system.makeQualified(place).toString())
+    setattr(context, f"{OWN}sent", True)
+
+
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def only_cache_of(owner: str, clear: Callable[[], None]) -> None:
+    """In a worker process, which Spark keeps for other operators' tasks: drop what those have cached."""
+    for other, clear_other in _CACHES.items():
+        if other != owner:
+            clear_other()
+    _CACHES.clear()
+    _CACHES[owner] = clear
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, where ``value`` is computed once a row however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import only_cache_of, prepare_workers
+
 DIMENSIONS = 1024
 SEED = 20240607
 #: Trigram vectors a worker keeps; beyond, it starts anew.  Code points worked on at once.
@@ -52,6 +54,9 @@ class Vectors:
         self.rows: dict[int, int] = {}
         self.matrix = np.empty((0, DIMENSIONS), dtype=np.float32)
 
+    def clear(self) -> None:
+        self.__init__()
+
     def of(self, keys: np.ndarray) -> np.ndarray:
         new = [k for k in keys.tolist() if k not in self.rows]
         if len(self.rows) + len(new) > KEPT:
@@ -114,6 +119,7 @@ def bundles(texts: list[str | None]) -> np.ndarray:
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition and language: the sum of the documents' vectors, scaled to unit length and rounded to whole numbers."""
+    only_cache_of("language", VECTORS.clear)
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs, texts = batch.column("lang").to_pylist(), batch.column("text")
@@ -129,6 +135,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _predictor(names: list[str], prototypes: np.ndarray):
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache_of("language", VECTORS.clear)
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
@@ -157,6 +164,7 @@ def fit_prototypes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     The driver gets one vector per language, added up on the executors.
     """
+    prepare_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("id")))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import repeat_rows, row_key, staged
+from tessera.llm.common import only_cache_of, repeat_rows, row_key, prepare_workers, staged
 from tessera.llm.components import connected_components
 
 RADIUS = 2
@@ -73,6 +73,7 @@ def simhash(text: str | None, words: int = 3) -> int:
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    only_cache_of("near_dedup", lambda: None)
     for batch in batches:
         values = np.fromiter((simhash(x.as_py(), words) for x in batch.column("text")), dtype=np.uint64, count=batch.num_rows)
         rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
@@ -81,6 +82,7 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa
 
 def fingerprints(rows: DataFrame, words: int = 3) -> DataFrame:
     """``rows`` with ``text`` replaced by ``fp``, its fingerprint as a signed long."""
+    prepare_workers(rows.sparkSession)
     types = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes if name != "text")
     return rows.mapInArrow(partial(_fingerprinted, words=words), f"{types}, fp long")
 
@@ -182,6 +184,7 @@ def _bit_sums(shingles: list[bytes]) -> np.ndarray:
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only_cache_of("near_dedup", lambda: None)
     for batch in batches:
         made = np.array([_group_prints(x.as_py()) for x in batch.column("text")], dtype=np.int64).reshape(-1, GROUPS)
         yield pa.RecordBatch.from_arrays([batch.column("t"), *(pa.array(made[:, g]) for g in range(GROUPS))], names=["t", *(f"p{g}" for g in range(GROUPS))])
@@ -200,6 +203,7 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     lower-cased; a shorter text is one shingle, a text without words has none and is like no other.  With eight 32-bit
     fingerprints, a pair within 23 bits of 256 differs by at most 2 bits in one of them and is linked there.
     """
+    prepare_workers(rows.sparkSession)
     columns = [f"p{g}" for g in range(GROUPS)]
     prints = rows.mapInArrow(_printed, "t long, " + ", ".join(f"{c} long" for c in columns))
     prints = staged(prints.groupBy("t").agg(*[F.max(c).alias(c) for c in columns]), "near-prints")
