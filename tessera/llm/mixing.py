@@ -3,8 +3,8 @@
 A source's rate (target over size) gives every document a whole number of copies and a fractional inclusion probability.
 The flight phase moves three fractional probabilities at a time along the null space of the two balancing constraints (their
 sum, and their sum weighted with size), so both totals stay as they are, until each is 0 or 1.  A block of bounded size
-leaves at most two undecided; those of many blocks meet in blocks of the next level, until one block per source is left,
-whose landing rounds the last two at the smallest error in words.
+leaves at most two undecided; those of many blocks meet in blocks of the next level, until one block per source is left.
+Its flight stops at twelve, and the landing rounds these so that the source's words come nearest to the target.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OWN, repeat_rows, row_key, staged, word_count
+from tessera.llm.common import OWN, prepare_workers, repeat_rows, row_key, staged, word_count
 
 EPS = 1e-9
+#: Undecided units that the landing of a source's last block rounds, by trying all ways.
+LANDING = 12
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -42,15 +44,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
     return levels.withColumn("level", first["level"]).withColumn("target", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap"))).drop("level")
 
 
-def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move the probabilities along the null space until at most two are fractional."""
+def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, left: int = 2) -> np.ndarray:
+    """Move the probabilities along the null space until at most ``left`` (two or more) are fractional."""
     pi = pi.copy()
     draws = rng.random(len(pi) + 4)
     pool: list[int] = []
     for k in range(len(pi)):
         if EPS < pi[k] < 1 - EPS:
             pool.append(k)
-        while len(pool) > 1:
+        while len(pool) > left or (left == 2 and len(pool) > 1):
             # Units of equal size already have a null vector between two of them.
             pair = next(((a, b) for i, a in enumerate(pool) for b in pool[i + 1 :] if size[a] == size[b]), None)
             if pair:
@@ -72,10 +74,15 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the few fractional ones so that words, then rows, are nearest to what they were to be."""
+    """Round the few fractional ones so that words, and rows as far as can be, are nearest to what they were to be."""
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
-    want_words, want_rows = float(pi[open_] @ size[open_]), float(pi[open_].sum())
-    best = min(product((0, 1), repeat=len(open_)), key=lambda c: (abs(float(np.dot(c, size[open_])) - want_words), abs(sum(c) - want_rows), c))
+    if not len(open_):
+        return pi
+    ways = np.array(list(product((0.0, 1.0), repeat=len(open_))))
+    words = np.abs(ways @ size[open_] - pi[open_] @ size[open_])
+    rows = np.abs(ways.sum(axis=1) - pi[open_].sum())
+    # A row too many or too few counts as a twentieth of a mean document.
+    best = ways[np.argmin(words + 0.05 * max(1.0, size[open_].mean()) * rows)]
     out = pi.copy()
     out[open_] = best
     return out
@@ -85,14 +92,16 @@ def _flown(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["h", "k1", "k2"], kind="stable").reset_index(drop=True)
     size, pi = pdf["size"].to_numpy(dtype=float), pdf["pi"].to_numpy(dtype=float)
     rng = np.random.default_rng(zlib.crc32(repr((None if key[0] is None or key[0] != key[0] else key[0], int(key[1]), int(pdf["level"].iloc[0]))).encode()))
-    pi = flight(pi, size, rng)
-    if pdf["last"].iloc[0]:
+    last = bool(pdf["last"].iloc[0])
+    pi = flight(pi, size, rng, LANDING if last else 2)
+    if last:
         pi = landing(pi, size)
     return pdf.assign(pi=pi)[["source", "size", "k1", "k2", "h", "whole", "pi"]]
 
 
 def copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, keys: list[Column], *, weights: tuple[int, ...], budget: float, cap: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, source, size, source_size, target, k1, k2) and their copies (k1, k2, copies), a row each."""
+    prepare_workers(docs.sparkSession)
     key_names = [f"{OWN}k1", f"{OWN}k2"]
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keys)
     rows = staged(keyed.withColumnsRenamed(dict(zip(key_names, ["k1", "k2"], strict=True))), "mix-rows")
