@@ -1,11 +1,12 @@
 """Document fingerprints: SimHash with weighted terms, and block tables that find all fingerprints within a radius.
 
-A term is a pair of adjacent words (a lone word is one).  Its 64-bit hash votes on each bit with its weight, 1 to 4 by
-length, since short words are common ones.  The votes of a text are summed in 32 longs with two lanes of 32 bits each: wide
+A term is a pair of adjacent words (a lone word is one) and counts once in a text, so that a repeated phrase doesn't drown
+the rest.  Its 128-bit hash votes on each bit with its weight, 1 to 4 by length, since short words are common ones.  The votes of a text are summed in 64 longs with two lanes of 32 bits each: wide
 enough for any string Spark can hold.  A bit of the fingerprint is 1 if it has over half the votes.
 
-The table of fingerprints is cut into six blocks of bits; two fingerprints within 3 bits agree on at least three whole
-blocks, so one of 20 tables, each keyed by three blocks moved to the front, has both under one key.
+Two fingerprints within 6 bits differ by at most 3 in one of their halves.  A half is cut into six blocks of bits; halves
+within 3 bits agree on at least three whole blocks, so one of 20 tables, each keyed by three blocks moved to the front, has
+both under one key.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import staged, word_array
 
-RADIUS = 3
-#: Bits of each block, lowest first.
+#: Bits that two fingerprints may differ in; in one of the halves they then differ in at most HALF_RADIUS.
+RADIUS, HALF_RADIUS = 6, 3
+HALVES = 2
+#: Bits of each block of a half, lowest first.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 PAIR = 1 << 32 | 1
 
@@ -27,7 +30,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def block_masks(blocks: tuple[int, ...] = BLOCKS, radius: int = RADIUS) -> list[int]:
+def block_masks(blocks: tuple[int, ...] = BLOCKS, radius: int = HALF_RADIUS) -> list[int]:
     """For each table the bits of its key, as signed longs."""
     starts = [sum(blocks[:i]) for i in range(len(blocks))]
     masks = [((1 << n) - 1) << s for n, s in zip(blocks, starts, strict=True)]
@@ -35,21 +38,33 @@ def block_masks(blocks: tuple[int, ...] = BLOCKS, radius: int = RADIUS) -> list[
 
 
 def votes(frame: DataFrame, keys: list[str], words: str, kept: list[str]) -> DataFrame:
-    """(keys, fp): the fingerprint of the array ``words`` of each row; the keys must be unique.  ``kept``: longs to carry."""
+    """(keys, kept, fp0, fp1): the fingerprint of the array ``words`` of each row; the keys must be unique.
+
+    ``kept``: longs to carry.
+    """
     n = F.size(words)
-    at = F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))))).alias("i")
-    a, b = F.get(words, F.col("i")), F.coalesce(F.get(words, F.col("i") + 1), F.lit(""))
-    terms = frame.select(*keys, *kept, words, at)
-    length = F.octet_length(a) + F.octet_length(b)
-    terms = terms.select(*keys, *kept, F.xxhash64(a, b).alias("h"), F.when(F.col("i").isNull(), 0).otherwise(F.least(F.lit(4), F.lit(1) + F.floor(length / 6))).cast("long").alias("w"))
-    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(PAIR)) * F.col("w")).alias(f"v{k}") for k in range(32)]
+
+    def term(i: Column) -> Column:
+        """A hash of the pair of words from ``i`` on, with its weight less 1 in the two lowest bits."""
+        a, b = F.get(words, i), F.coalesce(F.get(words, i + 1), F.lit(""))
+        weight = F.least(F.lit(3), F.floor((F.octet_length(a) + F.octet_length(b)) / 6))
+        return F.xxhash64(a, b).bitwiseAND(F.lit(-4)).bitwiseOR(weight)
+
+    distinct = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), term))
+    terms = frame.select(*keys, *kept, F.explode_outer(F.when(n > 0, distinct)).alias("term"))
+    weight = F.coalesce(F.col("term").bitwiseAND(F.lit(3)) + 1, F.lit(0)).cast("long")
+    terms = terms.select(*keys, *kept, F.xxhash64("term").alias("h0"), weight.alias("w")).withColumn("h1", F.xxhash64("h0"))
+    lanes = [F.sum(F.shiftrightunsigned(f"h{half}", k).bitwiseAND(F.lit(PAIR)) * F.col("w")).alias(f"v{half}_{k}") for half in range(HALVES) for k in range(32)]
     summed = terms.groupBy(*keys).agg(F.sum("w").alias("w"), *lanes, *[F.max(c).alias(c) for c in kept])
-    fp = F.lit(0).cast("long")
-    for k in range(32):
-        low, high = F.col(f"v{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"v{k}", 32)
-        fp = fp.bitwiseOR(F.when(2 * low > F.col("w"), F.lit(1 << k)).otherwise(F.lit(0)))
-        fp = fp.bitwiseOR(F.when(2 * high > F.col("w"), F.lit(signed(1 << (k + 32)))).otherwise(F.lit(0)))
-    return summed.select(*keys, *kept, fp.alias("fp"))
+    prints = []
+    for half in range(HALVES):
+        fp = F.lit(0).cast("long")
+        for k in range(32):
+            low, high = F.col(f"v{half}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"v{half}_{k}", 32)
+            fp = fp.bitwiseOR(F.when(2 * low > F.col("w"), F.lit(1 << k)).otherwise(F.lit(0)))
+            fp = fp.bitwiseOR(F.when(2 * high > F.col("w"), F.lit(signed(1 << (k + 32)))).otherwise(F.lit(0)))
+        prints.append(fp.alias(f"fp{half}"))
+    return summed.select(*keys, *kept, *prints)
 
 
 def with_next(base: DataFrame, bucket_rows: int = 1024) -> DataFrame:
@@ -88,27 +103,35 @@ def as_hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def distance(a: str, b: str) -> Column:
+    """In how many bits two fingerprints, named by the stems of their halves' columns, differ."""
+    return sum((F.bit_count(F.col(f"{a}{half}").bitwiseXOR(F.col(f"{b}{half}"))) for half in range(HALVES)), F.lit(0))
+
+
+def likeness(a: str, b: str) -> Column:
     """The share of equal bits."""
-    return F.lit(1.0) - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
+    return F.lit(1.0) - distance(a, b) / F.lit(64.0 * HALVES)
 
 
 def near_counts(prints: DataFrame, queries: DataFrame) -> DataFrame:
-    """(fp, near): for each distinct ``fp`` of ``queries`` how many rows of ``prints`` are within the radius.
+    """(q0, q1, near): for each distinct fingerprint of ``queries`` how many rows of ``prints`` are within the radius.
 
-    Both sides are folded to distinct fingerprints first, and no fingerprint has more than 43,745 values within 3 bits, so
-    a query's matches are bounded whatever the groups of copies.  A pair found by several tables counts in the first.
+    Both sides have the columns fp0 and fp1 and are folded to distinct fingerprints first, so a group of copies is one
+    row.  A pair found by several tables counts in the first.
     """
-    masks = block_masks()
-    tables = lambda df, name: df.withColumn("key", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(name).bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])))
-    every = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    left = tables(queries.select(F.col("fp").alias("q")).distinct(), "q").select("q", F.col("key.t").alias("t"), F.col("key.k").alias("k"))
-    right = tables(every, "fp").select("fp", "n", F.col("key.t").alias("t2"), F.col("key.k").alias("k2"))
-    apart = F.col("q").bitwiseXOR(F.col("fp"))
-    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(masks)])
-    close = (F.col("t") == F.col("t2")) & (F.col("k") == F.col("k2")) & (F.bit_count(apart) <= RADIUS) & (first == F.col("t"))
+    masks = [(half, m) for half in range(HALVES) for m in block_masks()]
+
+    def tables(df: DataFrame, stem: str, key: str) -> DataFrame:
+        filed = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"{stem}{half}").bitwiseAND(F.lit(m)).alias("k")) for t, (half, m) in enumerate(masks)]))
+        return df.withColumn("filed", filed).select(*df.columns, F.col("filed.t").alias(f"{key}t"), F.col("filed.k").alias(f"{key}k"))
+
+    every = prints.groupBy("fp0", "fp1").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select(F.col("fp0").alias("q0"), F.col("fp1").alias("q1")).distinct()
+    first = F.coalesce(*[F.when(F.col(f"q{half}").bitwiseXOR(F.col(f"fp{half}")).bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, (half, m) in enumerate(masks)])
+    close = (F.col("at") == F.col("bt")) & (F.col("ak") == F.col("bk")) & (distance("q", "fp") <= RADIUS) & (first == F.col("at"))
     # Merged, not broadcast: the keys of the queries grow with the corpus.
-    return left.hint("merge").join(right, close).groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("near"))
+    found = tables(asked, "q", "a").hint("merge").join(tables(every, "fp", "b"), close)
+    return found.groupBy("q0", "q1").agg(F.sum("n").alias("near"))
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", query_every: int = 20, bucket_rows: int = 1024) -> DataFrame:
@@ -117,7 +140,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     The edited text has its last third (rounded down) replaced by the beginning of the next document's text, as long or
     all of it.  Next goes by descending id, null last, equal ids by a hash of their text, and from the last to the first.
     near_count: for documents whose id is divisible by ``query_every``, how many documents (itself included) have a
-    fingerprint within 3 bits; null for others.  A null text counts as empty; a text without words has fingerprint zero.
+    fingerprint within 6 of its 128 bits; null for others.  A null text counts as empty; a text without words has fingerprint zero.
     Repeated rows each get a row; an empty table gives an empty table.  Other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -132,13 +155,24 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     variants = F.explode(F.array(F.struct(F.lit(0).alias("v"), word_array(F.col("text")).alias("words")), F.struct(F.lit(1).alias("v"), word_array(F.col("edited")).alias("words")))).alias("x")
     split = both.select("bucket", "rn", "ghost", "doc_id", "n_chars", *parts, variants).select("bucket", "rn", *kept, F.col("x.v").alias("v"), F.col("x.words").alias("words"))
     voted = votes(split, ["bucket", "rn", "v"], "words", kept)
-    per_row = voted.groupBy("bucket", "rn").agg(*[F.max(c).alias(c) for c in kept], F.max(F.when(F.col("v") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("v") == 1, F.col("fp"))).alias("edited"))
-    after = F.lead("fp").over(Window.partitionBy("bucket").orderBy("rn"))
-    rows = staged(per_row.withColumn("next", after).filter("ghost = 0").drop("ghost"), "print-rows")
-    queries = rows.filter(F.pmod("doc_id", F.lit(query_every)) == 0)
-    near = near_counts(rows, queries).withColumnRenamed("fp", "q")
+    own = [F.max(F.when(F.col("v") == v, F.col(f"fp{half}"))).alias(f"{stem}{half}") for v, stem in ((0, "fp"), (1, "edited")) for half in range(HALVES)]
+    per_row = voted.groupBy("bucket", "rn").agg(*[F.max(c).alias(c) for c in kept], *own)
+    order = Window.partitionBy("bucket").orderBy("rn")
+    after = per_row.withColumns({f"next{half}": F.lead(f"fp{half}").over(order) for half in range(HALVES)})
+    rows = staged(after.filter("ghost = 0").drop("ghost"), "print-rows")
     is_query = F.coalesce(F.pmod("doc_id", F.lit(query_every)) == 0, F.lit(False))
+    near = near_counts(rows, rows.filter(is_query))
     # Rows that aren't queries look for nothing; a hot fingerprint's rows are split by adaptive execution.
-    asked = rows.filter(is_query).join(near, F.col("fp") == F.col("q")).drop("q")
+    asked = rows.filter(is_query).join(near, (F.col("fp0") == F.col("q0")) & (F.col("fp1") == F.col("q1"))).drop("q0", "q1")
     told = asked.unionByName(rows.filter(~is_query).withColumn("near", F.lit(None).cast("long")))
-    return told.select("doc_id", "n_chars", F.concat(*[as_hex(F.col(f"s{i}")) for i in range(4)]).alias("edited_sha256"), as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited")).alias("near_edited"), likeness(F.col("fp"), F.col("next")).alias("near_next"), F.col("near").alias("near_count"))
+    whole = lambda stem, n: F.concat(*[as_hex(F.col(f"{stem}{i}")) for i in range(n)])
+    return told.select(
+        "doc_id",
+        "n_chars",
+        whole("s", 4).alias("edited_sha256"),
+        whole("fp", HALVES).alias("fingerprint"),
+        whole("edited", HALVES).alias("edited_fingerprint"),
+        likeness("fp", "edited").alias("near_edited"),
+        likeness("fp", "next").alias("near_next"),
+        F.col("near").alias("near_count"),
+    )
