@@ -74,17 +74,24 @@ def test_shared_dir(spark):
 
 
 def brute_fingerprint(text):
-    from_spark = WORD.findall(text)
-    terms = [(a, b) for a, b in zip(from_spark, from_spark[1:], strict=False)] or [(w, "") for w in from_spark]
-    votes, total = [0] * 64, 0
-    for a, b in terms:
+    words = WORD.findall(text)
+    terms = [(a, b) for a, b in zip(words, words[1:], strict=False)] or [(w, "") for w in words]
+    votes, total = [0] * 128, 0
+    for a, b in set(terms):
         # Spark's xxhash64 of two strings: the hash of the second seeded with that of the first; an empty one also hashes.
         h = xxhash.xxh64_intdigest(b.encode(), seed=xxhash.xxh64_intdigest(a.encode(), seed=42))
         weight = min(4, 1 + (len(a.encode()) + len(b.encode())) // 6)
+        h = h & ~3 | weight - 1
+        h = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=42)
+        h |= xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=42) << 64
         total += weight
-        for i in range(64):
+        for i in range(128):
             votes[i] += weight * (h >> i & 1)
-    return sum(1 << i for i in range(64) if 2 * votes[i] > total)
+    return sum(1 << i for i in range(128) if 2 * votes[i] > total)
+
+
+def hexadecimal(fp):
+    return f"{fp & (1 << 64) - 1:016x}{fp >> 64:016x}"
 
 
 @pytest.mark.parametrize("bucket_rows", [1, 3, 1024])
@@ -100,18 +107,19 @@ def test_fingerprints(spark, bucket_rows):
             third = len(text) // 3
             edited = text[: len(text) - third] + after[:third]
             f, e, n = map(brute_fingerprint, (text, edited, after))
-            options.add((len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{f:016x}", f"{e:016x}", 1 - (f ^ e).bit_count() / 64, 1 - (f ^ n).bit_count() / 64))
+            options.add((len(text), hashlib.sha256(edited.encode()).hexdigest(), hexadecimal(f), hexadecimal(e), 1 - (f ^ e).bit_count() / 128, 1 - (f ^ n).bit_count() / 128))
         assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) in options
     assert rows_of(fingerprints.fingerprint_documents(empty(spark))) == []
 
 
-def test_block_tables_find_all_within_three_bits(spark):
+def test_block_tables_find_all_within_the_radius(spark):
     rng = random.Random(5)
-    base = [rng.getrandbits(64) for _ in range(40)]
-    values = base + [b ^ sum(1 << i for i in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 3, 4, 5)]
-    df = spark.createDataFrame([(fingerprints.signed(v),) for v in values], "fp long")
-    got = {r["fp"]: r["near"] for r in fingerprints.near_counts(df, df).collect()}
-    assert got == {fingerprints.signed(v): sum((v ^ w).bit_count() <= 3 for w in values) for v in values}
+    base = [rng.getrandbits(128) for _ in range(40)]
+    values = base + [b ^ sum(1 << i for i in rng.sample(range(128), k)) for b in base for k in (0, 1, 3, 4, 5, 6, 7, 9)]
+    halves = lambda v: (fingerprints.signed(v & (1 << 64) - 1), fingerprints.signed(v >> 64))
+    df = spark.createDataFrame([halves(v) for v in values], "fp0 long, fp1 long")
+    got = {(r["q0"], r["q1"]): r["near"] for r in fingerprints.near_counts(df, df).collect()}
+    assert got == {halves(v): sum((v ^ w).bit_count() <= 6 for w in values) for v in values}
     assert len(fingerprints.block_masks()) == 20
 
 
@@ -456,7 +464,7 @@ def test_mixing(spark, block_rows):
         source = by_size[(r["source_size"], round(r["target"], 6))]
         assert r["taken"] in (0, r["size"], 2 * r["size"])
         taken[source] += r["taken"]
-    assert all(abs(taken[s] - want[s]) <= 31 for s in want)
+    assert all(abs(taken[s] - want[s]) <= 8 for s in want)
     again = rows_of(mixing.mix(docs.repartition(7), block_rows=block_rows))
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"])
     assert sorted(got, key=key) == sorted(again, key=key)
