@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 from tessera.operators import aggregate as agg
 from tessera.operators import change, cte, join, scan, sort, window
 from tessera.operators import predicate as p
+from tessera.plans.lower import Lowering, Table
+from tessera.plans.parser import parse
 from tessera.sources.result_text import as_lines
 from tessera.sources.tables import table
+from tessera.store.session import Engine, Session
+from tessera.streaming.replica import replicate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -455,6 +460,72 @@ def ddl_rename_column(spark, d):
     return change.rename_column(table(spark, d, "nation"), "n_name", "title")
 
 
+# The SQL dialect, over the same tables
+
+
+def dialect(name: str, text: str, sql: str | None = None) -> None:
+    """A query of the dialect; DuckDB gets the same text, or ``sql`` where the dialect means something else."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return Lowering(spark, lambda n: Table(table(spark, d, n), table(spark, d, n).columns[0])).query(parse(text))
+
+    run.__name__ = name
+    query(sql or text)(run)
+
+
+dialect("sql_filter", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE (o_orderstatus = 'F' OR o_custkey IN (1, 2, 3)) AND NOT o_totalprice BETWEEN 1000 AND 90000")
+dialect("sql_group_having", "SELECT o_custkey AS c, COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders GROUP BY o_custkey HAVING COUNT(*) >= 12 ORDER BY n DESC, c")
+dialect("sql_join_chain", "SELECT n.n_name AS name, COUNT(*) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 100000 GROUP BY n.n_name")
+dialect("sql_outer_join", "SELECT user_id, event_id, c_custkey FROM events FULL OUTER JOIN customer ON user_id = c_custkey AND c_acctbal > 0")
+dialect("sql_side_biased_join", "SELECT source, quality FROM documents JOIN labels ON doc_id = doc_id", "SELECT source, quality FROM documents JOIN labels ON documents.doc_id = labels.doc_id")
+dialect("sql_cte_subquery", "WITH per AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey), top AS (SELECT MAX(n) AS m FROM per) SELECT o_custkey, n FROM per WHERE n = (SELECT m FROM top)")
+dialect("sql_in_subquery", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND c_name LIKE '%1%'")
+dialect("sql_derived_table", "SELECT t.o_orderstatus AS s, SUM(t.k) AS total FROM (SELECT o_orderstatus, o_custkey % 10 AS k FROM orders) t GROUP BY t.o_orderstatus", "SELECT o_orderstatus AS s, CAST(SUM(o_custkey % 10) AS BIGINT) AS total FROM orders GROUP BY o_orderstatus")
+dialect(
+    "sql_window",
+    "SELECT event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn, COUNT(*) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events",
+    "SELECT event_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS rn, COUNT(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events",
+)
+dialect("sql_distinct_limit", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_mktsegment LIMIT 7 OFFSET 3")
+
+
+# The store
+
+
+def _store(spark: SparkSession, d: str) -> Session:
+    """A new store in the folder that executors share, holding the table nation."""
+    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
+    session = Engine(spark, f"{folder}/store-{uuid.uuid4().hex}").session()
+    session.run(parse("CREATE TABLE nation (n_nationkey INT, n_name VARCHAR, n_regionkey INT)"))
+    session.load("nation", table(spark, d, "nation"))
+    return session
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_nationkey = 3 THEN 'renamed' ELSE n_name END AS title, CAST(n_regionkey AS BIGINT) AS n_regionkey, FALSE AS active FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 99, 'ATLANTIS', 3, TRUE")
+def store_changes(spark, d):
+    session = _store(spark, d)
+    for text in (
+        "BEGIN", "DELETE FROM nation WHERE n_regionkey = 2", "UPDATE nation SET n_name = 'renamed' WHERE n_nationkey = 3", "COMMIT",
+        "BEGIN", "DELETE FROM nation", "ROLLBACK",
+        "ALTER TABLE nation ADD COLUMN active BOOL", "ALTER TABLE nation RENAME COLUMN n_name TO title", "INSERT INTO nation VALUES (99, 'ATLANTIS', 3, true)",
+    ):
+        session.run(parse(text), text)
+    return session.sql("SELECT * FROM nation")
+
+
+@query("SELECT CAST(k AS BIGINT) AS k, v FROM (VALUES (1, 'a'), (3, 'z')) AS t(k, v)")
+def stream_replica(spark, d):
+    """A leader's commits reach a follower by a file stream."""
+    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
+    root = f"{folder}/replica-{uuid.uuid4().hex}"
+    leader, follower = Engine(spark, f"{root}/leader"), Engine(spark, f"{root}/follower")
+    session = leader.session()
+    for text in ("CREATE TABLE t (k INT, v VARCHAR)", "INSERT INTO t VALUES (1, 'a'), (2, 'b'), (3, 'c')", "DELETE FROM t WHERE k = 2", "UPDATE t SET v = 'z' WHERE k = 3"):
+        session.run(parse(text), text)
+    replicate(leader, follower, f"{root}/checkpoint").awaitTermination()
+    return follower.session().sql("SELECT * FROM t")
+
+
 # The flagship
 
 
