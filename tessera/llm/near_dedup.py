@@ -8,8 +8,9 @@ are filed under the values within one bit of them: two share such a value if and
 no value has more than one plus the number of bits.  So no pair is missed, and no group is ever expanded into all its pairs.
 
 ``near_duplicates`` links documents whose 64-bit fingerprints differ in at most 2 bits.  ``similar_texts`` finds texts of a
-given Jaccard similarity: eight 32-bit fingerprints of a text are linked each in the same way, and a pair of texts linked by
-any of them is verified on its whole sets of shingles.
+given Jaccard similarity: six 32-bit fingerprints of a text are linked each in the same way, with segments of one bit, as
+wider ones would crowd the cells of so short a fingerprint.  A pair of texts linked by any of them must agree on three
+quarters of the 192 bits and is then verified on its whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ from tessera.llm.components import connected_components
 
 RADIUS = 2
 #: Widths of the segments, from the lowest bit on, of 64-bit and of 32-bit fingerprints.
-WIDE, NARROW = (3,) * 21 + (1,), (2,) * 16
-#: 32-bit fingerprints of a text, and the words of their shingles, for ``similar_texts``.
-GROUPS, GROUP_WORDS = 8, 2
+WIDE, NARROW = (3,) * 21 + (1,), (1,) * 32
+#: For ``similar_texts``: 32-bit fingerprints of a text, the words of their shingles, and the bits that all together may
+#: differ in, a quarter: near copies differ in some 18 of them, unrelated texts in some 90.
+GROUPS, GROUP_WORDS, GROUP_RADIUS = 6, 2, 48
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -160,7 +162,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _group_prints(text: str | None) -> np.ndarray:
-    """Eight 32-bit fingerprints of a text, from its pairs of words."""
+    """Six 32-bit fingerprints of a text, from its pairs of words."""
     votes, n = np.zeros(32 * GROUPS, dtype=np.int64), 0
     held: list[bytes] = []
     any_ = False
@@ -178,9 +180,10 @@ def _group_prints(text: str | None) -> np.ndarray:
 
 
 def _bit_sums(shingles: list[bytes]) -> np.ndarray:
-    """How often each of 256 hash bits is set."""
-    halves = [b"".join(map(partial(xxhash.xxh128_digest, seed=seed), shingles)) for seed in range(GROUPS // 4)]
-    return np.concatenate([np.unpackbits(np.frombuffer(h, dtype=np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for h in halves])
+    """How often each of the hash bits is set."""
+    hashes = [b"".join(map(partial(xxhash.xxh128_digest, seed=seed), shingles)) for seed in range(-(-GROUPS // 4))]
+    sums = [np.unpackbits(np.frombuffer(h, dtype=np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for h in hashes]
+    return np.concatenate(sums)[: 32 * GROUPS]
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +203,9 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     """(t, root) for the texts of ``rows`` (t, text) that have a near copy; t is a hash of the text.
 
     Near copies have a Jaccard similarity of ``similarity`` or more on their distinct shingles of ``words`` words, A-Z
-    lower-cased; a shorter text is one shingle, a text without words has none and is like no other.  With eight 32-bit
-    fingerprints, a pair within 23 bits of 256 differs by at most 2 bits in one of them and is linked there.
+    lower-cased; a shorter text is one shingle, a text without words has none and is like no other.  With six 32-bit
+    fingerprints, a pair within 17 bits of 192 differs by at most 2 bits in one of them and is linked there for certain;
+    pairs farther apart are with a chance that falls slowly.
     """
     prepare_workers(rows.sparkSession)
     columns = [f"p{g}" for g in range(GROUPS)]
@@ -215,8 +219,14 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     for side in "ab":
         near = near.join(values.select(F.col("fp").alias(side), F.col("least").alias(f"{side}{side}")), side)
     near = near.select(F.col("aa").alias("a"), F.col("bb").alias("b"))
-    pairs = staged(shared.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    asked = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+    linked = shared.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    told = linked
+    for side in "ab":
+        told = told.join(prints.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in columns]), side)
+    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in columns), F.lit(0))
+    pairs = staged(told.filter(apart <= GROUP_RADIUS).select("a", "b"), "near-pairs")
+    # Staged, so that the planner knows how small it is: then whole texts aren't shuffled for it.
+    asked = staged(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "near-asked")
     sets = rows.join(asked, "t", "left_semi").mapInArrow(partial(_shingled, words=words), "t long, shingles array<bigint>")
     sets = staged(sets.filter("size(shingles) > 0"), "near-sets").dropDuplicates(["t"])
     both = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b")
