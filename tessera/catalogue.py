@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.ring import Ring
 from tessera.operators import aggregate as agg
 from tessera.operators import change, cte, join, scan, sort, window
 from tessera.operators import predicate as p
@@ -144,6 +145,12 @@ def in_memory_scan(spark, d):
     return scan.in_memory_scan(table(spark, d, "nation"), "tessera_memory").filter("n_regionkey = 1").select("n_name")
 
 
+@query("SELECT COUNT(*) AS n FROM nation WHERE n_regionkey = 1")
+def in_memory_insert(spark, d):
+    """The rows of a query go to a named temporary table; the answer is how many there are."""
+    return scan.in_memory_insert(table(spark, d, "nation").filter("n_regionkey = 1"), "tessera_inserted")
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ' | ' || CAST(n_regionkey AS VARCHAR) AS line FROM nation")
 def result_sink_lines(spark, d):
     return as_lines(table(spark, d, "nation"))
@@ -513,6 +520,19 @@ def store_changes(spark, d):
     return session.sql("SELECT * FROM nation")
 
 
+@query("SELECT 'nation' AS name, 'n_nationkey INT, n_name VARCHAR, n_regionkey INT' AS columns, COUNT(*) AS rows FROM nation")
+def system_catalogue(spark, d):
+    return _store(spark, d).sql("SELECT name, columns, rows FROM sys_tables")
+
+
+@query("SELECT * FROM (VALUES (0, '-> Limit'), (1, '  -> OrderBy'), (2, '    -> Project'), (3, '      -> IndexScan')) AS t(depth, line)")
+def explain_plan(spark, d):
+    """EXPLAIN of a lookup by primary key, a row per operator."""
+    session = _store(spark, d)
+    lines = session.execute("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey = 3 ORDER BY n_name LIMIT 1").splitlines()[:-1]
+    return spark.createDataFrame(list(enumerate(lines)), "depth int, line string")
+
+
 @query("SELECT CAST(k AS BIGINT) AS k, v FROM (VALUES (1, 'a'), (3, 'z')) AS t(k, v)")
 def stream_replica(spark, d):
     """A leader's commits reach a follower by a file stream."""
@@ -526,6 +546,18 @@ def stream_replica(spark, d):
     return follower.session().sql("SELECT * FROM t")
 
 
+# Placement
+
+
+def hash_ring(spark: SparkSession, d: str) -> DataFrame:
+    """The node of each customer on a ring of four; placement follows Spark's hash, which DuckDB doesn't have."""
+    ring = Ring("n1", "n2", "n3", "n4")
+    return table(spark, d, "customer").select("c_custkey", ring.column(F.col("c_custkey")).alias("node"))
+
+
+QUERIES["hash_ring"] = hash_ring
+
+
 # The flagship
 
 

@@ -26,6 +26,12 @@ def search(df: DataFrame, key: str, value: Any) -> DataFrame:
     return index_scan_eq(df, key, value).limit(1)
 
 
+def in_memory_insert(df: DataFrame, name: str) -> DataFrame:
+    """Name the rows of ``df`` for SQL text in this session; one row with their number."""
+    df.createOrReplaceTempView(name)
+    return df.agg(F.count(F.lit(1)).alias("n"))
+
+
 def in_memory_scan(df: DataFrame, name: str) -> DataFrame:
     """The rows under a name that SQL text can use in this session; planned anew at each use."""
     df.createOrReplaceTempView(name)

@@ -38,7 +38,12 @@ def test_query(spark, con, name):
 
 
 def test_every_query_of_the_catalogue_has_sql():
-    assert catalogue.QUERIES.keys() == catalogue.SQL.keys()
+    assert catalogue.QUERIES.keys() - catalogue.SQL.keys() == {"hash_ring"} and catalogue.SQL.keys() <= catalogue.QUERIES.keys()
+
+
+def test_ring_places_every_customer(spark):
+    rows = catalogue.QUERIES["hash_ring"](spark, str(DATA)).collect()
+    assert len(rows) == table(spark, str(DATA), "customer").count() and {r["node"] for r in rows} == {"n1", "n2", "n3", "n4"}
 
 
 def test_entry(spark):
