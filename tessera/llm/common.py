@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import uuid
 import zipfile
@@ -29,13 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: a table that outlives any executor, and an end to its lineage."""
+    """Write ``df`` to the shared folder and read it again: a table that outlives any executor, and an end to its lineage.
+
+    The table stays until the driver process ends, since results that are computed later may read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def _drop_staged() -> None:
+    """At the end of the driver process, when no DataFrame can read them any more, staged tables go."""
+    for spark, path in _STAGED:
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+atexit.register(_drop_staged)
+
+
 def prepare_workers(spark: SparkSession, rows: int = 512) -> None:
     """Make this package known to the Python workers, and send them texts in batches of at most ``rows``.
 
@@ -58,6 +78,7 @@ def prepare_workers(spark: SparkSession, rows: int = 512) -> None:
     stream = system.create(place)
     stream.write(bytearray(archive.getvalue()))
     stream.close()
+    _STAGED.append((spark, path))
     context.addPyFile(system.makeQualified(place).toString())
     setattr(context, f"{OWN}sent", True)
 
