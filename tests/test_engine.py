@@ -168,6 +168,15 @@ def test_read_only_and_prompt(spark, engine):
     assert out[0] == "0\nOK\n" and out[-1] == "(txn) > "
 
 
+def test_router(session):
+    assert session.execute("ROUTER GET k").startswith("ERR EXEC")
+    assert session.execute("ROUTER ADD n1") == "OK\n" and session.execute("router add n2") == "OK\n"
+    assert session.execute("ROUTER GET k") in ("n1\n", "n2\n")
+    session.execute("ROUTER REMOVE n1")
+    assert session.execute("ROUTER GET k") == "n2\n"
+    assert session.execute("ROUTER NOPE").startswith("ERR PARSER")
+
+
 def test_replica(spark, engine, tmp_path):
     leader = engine.session()
     run(leader, "CREATE TABLE t (id INT, val VARCHAR)", "INSERT INTO t VALUES (1,'a'),(2,'b')", "DELETE FROM t WHERE id = 1")
