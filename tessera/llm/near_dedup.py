@@ -8,9 +8,9 @@ are filed under the values within one bit of them: two share such a value if and
 no value has more than one plus the number of bits.  So no pair is missed, and no group is ever expanded into all its pairs.
 
 ``near_duplicates`` links documents whose 64-bit fingerprints differ in at most 2 bits.  ``similar_texts`` finds texts of a
-given Jaccard similarity: six 32-bit fingerprints of a text are linked each in the same way, with segments of one bit, as
+given Jaccard similarity: eight 32-bit fingerprints of a text are linked each in the same way, with segments of one bit, as
 wider ones would crowd the cells of so short a fingerprint.  A pair of texts linked by any of them must agree on three
-quarters of the 192 bits and is then verified on its whole sets of shingles.
+quarters of the 256 bits and is then verified on its whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ RADIUS = 2
 #: Widths of the segments, from the lowest bit on, of 64-bit and of 32-bit fingerprints.
 WIDE, NARROW = (3,) * 21 + (1,), (1,) * 32
 #: For ``similar_texts``: 32-bit fingerprints of a text, the words of their shingles, and the bits that all together may
-#: differ in, a quarter: near copies differ in some 18 of them, unrelated texts in some 90.
-GROUPS, GROUP_WORDS, GROUP_RADIUS = 6, 2, 48
+#: differ in, a quarter: near copies differ in some 24 of them, unrelated texts in some 120.
+GROUPS, GROUP_WORDS, GROUP_RADIUS = 8, 2, 64
+#: Bits of the bitmap that finds the texts to verify.
+MARKS = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -162,7 +164,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _group_prints(text: str | None) -> np.ndarray:
-    """Six 32-bit fingerprints of a text, from its pairs of words."""
+    """Eight 32-bit fingerprints of a text, from its pairs of words."""
     votes, n = np.zeros(32 * GROUPS, dtype=np.int64), 0
     held: list[bytes] = []
     any_ = False
@@ -199,12 +201,25 @@ def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(sets, pa.list_(pa.int64()))], names=["t", "shingles"])
 
 
+def marked(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose t is in ``asked``, and a few more, without a shuffle of the rows.
+
+    A bitmap of MARKS bits has a bit for each hash that is asked for.  It is broadcast: whatever the input, it has at most
+    MARKS / 64 rows.
+    """
+    place = F.pmod(F.xxhash64("t"), F.lit(MARKS))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    bitmap = asked.select(place.alias("place")).select(F.shiftright("place", 6).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    hit = rows.withColumn("place", place).withColumn("slot", F.shiftright("place", 6)).join(F.broadcast(bitmap), "slot")
+    return hit.filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(t, root) for the texts of ``rows`` (t, text) that have a near copy; t is a hash of the text.
 
     Near copies have a Jaccard similarity of ``similarity`` or more on their distinct shingles of ``words`` words, A-Z
-    lower-cased; a shorter text is one shingle, a text without words has none and is like no other.  With six 32-bit
-    fingerprints, a pair within 17 bits of 192 differs by at most 2 bits in one of them and is linked there for certain;
+    lower-cased; a shorter text is one shingle, a text without words has none and is like no other.  With eight 32-bit
+    fingerprints, a pair within 23 bits of 256 differs by at most 2 bits in one of them and is linked there for certain;
     pairs farther apart are with a chance that falls slowly.
     """
     prepare_workers(rows.sparkSession)
@@ -225,9 +240,8 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
         told = told.join(prints.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in columns]), side)
     apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in columns), F.lit(0))
     pairs = staged(told.filter(apart <= GROUP_RADIUS).select("a", "b"), "near-pairs")
-    # Staged, so that the planner knows how small it is: then whole texts aren't shuffled for it.
     asked = staged(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "near-asked")
-    sets = rows.join(asked, "t", "left_semi").mapInArrow(partial(_shingled, words=words), "t long, shingles array<bigint>")
+    sets = marked(rows, asked).join(asked, "t", "left_semi").mapInArrow(partial(_shingled, words=words), "t long, shingles array<bigint>")
     sets = staged(sets.filter("size(shingles) > 0"), "near-sets").dropDuplicates(["t"])
     both = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
