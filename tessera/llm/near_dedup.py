@@ -121,11 +121,11 @@ def values_near(fp: Column, bits: int) -> Column:
     return F.array(fp, *[fp.bitwiseXOR(F.lit(signed(1 << i))) for i in range(bits)])
 
 
-def links(distinct: DataFrame, segments: tuple[int, ...] = WIDE, chained: bool = False) -> DataFrame:
+def links(distinct: DataFrame, segments: tuple[int, ...] = WIDE) -> DataFrame:
     """Edges (a, b) that connect the distinct values ``fp`` within 2 bits of each other in the segments' bits.
 
-    They are not every pair, but give the same components.  ``chained`` adds edges between neighbours in a bucket.  Bits
-    above the segments tell groups apart that have nothing to do with each other.
+    They are not every pair, but give the same components: in each bucket all are linked with the least.  Bits above the
+    segments tell groups apart that have nothing to do with each other.
     """
     bits = sum(segments)
     own = distinct.select("fp", cell_of(F.col("fp"), segments).alias("own"))
@@ -135,11 +135,7 @@ def links(distinct: DataFrame, segments: tuple[int, ...] = WIDE, chained: bool =
     pairs = filled.filter((F.col("n") == 2) & close).select("a", "b").distinct()
     crowded = cells.join(filled.filter("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
     met = crowded.select("fp", F.explode(values_near(F.col("fp"), bits)).alias("value")).groupBy("value").agg(F.array_sort(F.collect_set("fp")).alias("fps")).filter("size(fps) > 1")
-    rest = F.slice("fps", 2, bits)
-    edges = F.transform(rest, lambda b: F.struct(F.col("fps")[0].alias("a"), b.alias("b")))
-    if chained:
-        edges = F.concat(edges, F.transform(F.slice("fps", 3, bits), lambda b, i: F.struct(F.get(rest, i).alias("a"), b.alias("b"))))
-    stars = met.select(F.explode(edges).alias("e")).select("e.a", "e.b").filter(close).distinct()
+    stars = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, bits)).alias("b")).filter(close).distinct()
     return pairs.union(stars)
 
 
@@ -230,7 +226,7 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     each = prints.select("t", F.explode(F.array(*[F.col(c).bitwiseOR(F.lit(g << 32)) for g, c in enumerate(columns)])).alias("fp"))
     values = staged(each.groupBy("fp").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("n")), "near-values")
     shared = each.join(values.filter("n > 1").select("fp", "least"), "fp").filter("t <> least").select(F.col("least").alias("a"), F.col("t").alias("b"))
-    near = links(values.select("fp"), NARROW, chained=True)
+    near = links(values.select("fp"), NARROW)
     for side in "ab":
         near = near.join(values.select(F.col("fp").alias(side), F.col("least").alias(f"{side}{side}")), side)
     near = near.select(F.col("aa").alias("a"), F.col("bb").alias("b"))
