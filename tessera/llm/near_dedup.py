@@ -10,7 +10,8 @@ no value has more than one plus the number of bits.  So no pair is missed, and n
 ``near_duplicates`` links documents whose 64-bit fingerprints differ in at most 2 bits.  ``similar_texts`` finds texts of a
 given Jaccard similarity: eight 32-bit fingerprints of a text are linked each in the same way, with segments of one bit, as
 wider ones would crowd the cells of so short a fingerprint.  A pair of texts linked by any of them must agree on three
-quarters of the 256 bits and is then verified on its whole sets of shingles.
+quarters of the 256 bits and is then verified on its whole sets of shingles.  Min-hash keys of the shingles add the pairs
+that are alike but far in bits.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ WIDE, NARROW = (3,) * 21 + (1,), (1,) * 32
 #: For ``similar_texts``: 32-bit fingerprints of a text, the words of their shingles, and the bits that all together may
 #: differ in, a quarter: near copies differ in some 24 of them, unrelated texts in some 120.
 GROUPS, GROUP_WORDS, GROUP_RADIUS = 8, 2, 64
+#: For ``similar_texts``: keys of a text, each of the least values of so many permutations of its shingles' hashes.  Texts of
+#: Jaccard similarity s share a key with a chance of 1 - (1 - s ** BAND_ROWS) ** BANDS, wherever they differ: 0.9993 at 0.8.
+BANDS, BAND_ROWS = 24, 6
+_TURNS, _SHIFTS = (np.array([xxhash.xxh64_intdigest(name, seed=i) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)[:, None] for name in (b"turn", b"shift"))
 #: Bits of the bitmap that finds the texts to verify.
 MARKS = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -184,11 +189,24 @@ def _bit_sums(shingles: list[bytes]) -> np.ndarray:
     return np.concatenate(sums)[: 32 * GROUPS]
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_keys(text: str | None, words: int) -> np.ndarray:
+    """The keys of a text's distinct shingles, none for a text without words."""
+    least, any_ = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64), False
+    for hashes in shingle_hashes(text, words):
+        any_ = True
+        for at in range(0, len(hashes), 512):
+            least = np.minimum(least, (hashes[None, at : at + 512] * _TURNS + _SHIFTS).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), seed=i) for i, x in enumerate(least.astype("<u8").reshape(BANDS, BAND_ROWS))]
+    return np.array(keys if any_ else [], dtype=np.uint64).view(np.int64)
+
+
+def _printed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     only_cache_of("near_dedup", lambda: None)
     for batch in batches:
-        made = np.array([_group_prints(x.as_py()) for x in batch.column("text")], dtype=np.int64).reshape(-1, GROUPS)
-        yield pa.RecordBatch.from_arrays([batch.column("t"), *(pa.array(made[:, g]) for g in range(GROUPS))], names=["t", *(f"p{g}" for g in range(GROUPS))])
+        texts = [x.as_py() for x in batch.column("text")]
+        made = np.array([_group_prints(x) for x in texts], dtype=np.int64).reshape(-1, GROUPS)
+        keys = pa.array([_band_keys(x, words) for x in texts], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("t"), *(pa.array(made[:, g]) for g in range(GROUPS)), keys], names=["t", *(f"p{g}" for g in range(GROUPS)), "keys"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -216,12 +234,13 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     Near copies have a Jaccard similarity of ``similarity`` or more on their distinct shingles of ``words`` words, A-Z
     lower-cased; a shorter text is one shingle, a text without words has none and is like no other.  With eight 32-bit
     fingerprints, a pair within 23 bits of 256 differs by at most 2 bits in one of them and is linked there for certain;
-    pairs farther apart are with a chance that falls slowly.
+    pairs farther apart are with a chance that falls slowly.  Copies with a part appended, cut or replaced in one piece are
+    far in bits for their similarity: the keys of ``_band_keys`` link them, with a chance that only depends on the similarity.
     """
     prepare_workers(rows.sparkSession)
     columns = [f"p{g}" for g in range(GROUPS)]
-    prints = rows.mapInArrow(_printed, "t long, " + ", ".join(f"{c} long" for c in columns))
-    prints = staged(prints.groupBy("t").agg(*[F.max(c).alias(c) for c in columns]), "near-prints")
+    made = staged(rows.mapInArrow(partial(_printed, words=words), "t long, " + ", ".join(f"{c} long" for c in columns) + ", keys array<bigint>"), "near-made")
+    prints = staged(made.groupBy("t").agg(*[F.max(c).alias(c) for c in columns]), "near-prints")
     # The number of the fingerprint goes above its 32 bits.
     each = prints.select("t", F.explode(F.array(*[F.col(c).bitwiseOR(F.lit(g << 32)) for g, c in enumerate(columns)])).alias("fp"))
     values = staged(each.groupBy("fp").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("n")), "near-values")
@@ -230,7 +249,11 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     for side in "ab":
         near = near.join(values.select(F.col("fp").alias(side), F.col("least").alias(f"{side}{side}")), side)
     near = near.select(F.col("aa").alias("a"), F.col("bb").alias("b"))
-    linked = shared.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keyed = made.select("t", F.explode("keys").alias("key"))
+    filled = keyed.groupBy("key").agg(F.min("t").alias("hub"), F.max("t").alias("last")).filter("hub < last").select("key", "hub")
+    entries = staged(keyed.join(filled, "key").distinct(), "near-entries")
+    met = entries.select(F.col("hub").alias("a"), F.col("t").alias("b"))
+    linked = shared.union(near).union(met).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     told = linked
     for side in "ab":
         told = told.join(prints.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in columns]), side)

@@ -273,6 +273,27 @@ def test_similar_texts_are_deduplicated(spark):
     assert near_dedup.deduplicated(empty(spark)).count() == 0
 
 
+def edited_texts(edit, pairs, seed=11):
+    """Rows (t, text): text 2i of 200 random words, and text 2i + 1, what ``edit`` makes of its words."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(pairs):
+        words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edit(words, rng)))]
+    return rows
+
+
+def linked_share(spark, rows):
+    got = {r["t"]: r["root"] for r in near_dedup.similar_texts(spark.createDataFrame(rows, "t long, text string")).collect()}
+    assert all(root in (t, t - 1) for t, root in got.items())  # no other text is alike
+    return len(got) / len(rows)
+
+
+@pytest.mark.parametrize("edit", [lambda w, rng: w + rng.choices("qrstuvwxyz", k=48), lambda w, rng: w[:161], lambda w, rng: w[39:], lambda w, rng: w[:90] + rng.choices("qrstuvwxyz", k=17) + w[107:]])
+def test_copies_appended_or_cut_are_similar(spark, edit):
+    assert linked_share(spark, edited_texts(edit, 150)) >= 0.99
+
+
 # 4
 
 
