@@ -165,15 +165,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _group_prints(text: str | None) -> np.ndarray:
-    """Eight 32-bit fingerprints of a text, from its pairs of words."""
+    """Eight 32-bit fingerprints of a text, from its distinct pairs of words, as similarity is on distinct shingles."""
     votes, n = np.zeros(32 * GROUPS, dtype=np.int64), 0
     held: list[bytes] = []
+    voted: set[int] = set()
     any_ = False
     for chunk in chunks_of_words((text or "").encode("utf-8", "surrogatepass").lower()):
         held += chunk
-        shingles = list(map(b" ".join, zip(*(islice(held, k, None) for k in range(GROUP_WORDS)), strict=False)))
-        held = held[len(held) - GROUP_WORDS + 1 :] if shingles else held
-        any_ = any_ or bool(shingles)
+        every = {xxhash.xxh64_intdigest(x): x for x in map(b" ".join, zip(*(islice(held, k, None) for k in range(GROUP_WORDS)), strict=False))}
+        held = held[len(held) - GROUP_WORDS + 1 :] if every else held
+        any_ = any_ or bool(every)
+        shingles = [x for h, x in every.items() if h not in voted]
+        voted.update(every)
         for at in range(0, len(shingles), 8192):
             votes += _bit_sums(shingles[at : at + 8192])
         n += len(shingles)

@@ -294,6 +294,12 @@ def test_copies_appended_or_cut_are_similar(spark, edit):
     assert linked_share(spark, edited_texts(edit, 150)) >= 0.99
 
 
+@pytest.mark.parametrize("times", [6, 10])
+def test_copies_with_a_line_repeated_are_similar(spark, times):
+    assert linked_share(spark, edited_texts(lambda w, rng: w + w[:8] * times, 50)) == 1
+
+
+
 # 4
 
 
