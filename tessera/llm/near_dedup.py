@@ -254,21 +254,58 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     near = near.select(F.col("aa").alias("a"), F.col("bb").alias("b"))
     keyed = made.select("t", F.explode("keys").alias("key"))
     filled = keyed.groupBy("key").agg(F.min("t").alias("hub"), F.max("t").alias("last")).filter("hub < last").select("key", "hub")
-    entries = staged(keyed.join(filled, "key").distinct(), "near-entries")
-    met = entries.select(F.col("hub").alias("a"), F.col("t").alias("b"))
-    linked = shared.union(near).union(met).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    told = linked
-    for side in "ab":
-        told = told.join(prints.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in columns]), side)
-    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in columns), F.lit(0))
-    pairs = staged(told.filter(apart <= GROUP_RADIUS).select("a", "b"), "near-pairs")
-    asked = staged(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "near-asked")
-    sets = marked(rows, asked).join(asked, "t", "left_semi").mapInArrow(partial(_shingled, words=words), "t long, shingles array<bigint>")
-    sets = staged(sets.filter("size(shingles) > 0"), "near-sets").dropDuplicates(["t"])
-    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
-    return connected_components(alike.select("a", "b")).withColumnRenamed("node", "t")
+    entries = staged(keyed.join(filled.select("key"), "key", "left_semi").distinct(), "near-entries")
+    candidates = shared.union(near)
+    total, edges, tried, sets, known = entries.count(), None, None, None, None
+    while True:
+        linked = candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tried is not None:
+            linked = linked.join(tried, ["a", "b"], "left_anti")
+        told = linked
+        for side in "ab":
+            told = told.join(prints.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in columns]), side)
+        apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in columns), F.lit(0))
+        pairs = staged(told.filter(apart <= GROUP_RADIUS).select("a", "b"), "near-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        asked = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+        asked = staged(asked if known is None else asked.join(known, "t", "left_anti"), "near-asked")
+        if known is None or not asked.isEmpty():
+            found = marked(rows, asked).join(asked, "t", "left_semi").mapInArrow(partial(_shingled, words=words), "t long, shingles array<bigint>")
+            found = staged(found.filter("size(shingles) > 0"), "near-sets").dropDuplicates(["t"])
+            sets, known = (found, asked) if known is None else (sets.union(found), known.union(asked))
+        both = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        alike = staged(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-alike")
+        if edges is None or not alike.isEmpty():
+            edges = alike if edges is None else edges.union(alike)
+            roots = staged(connected_components(edges), "near-roots")
+            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        candidates, entries = next_pairs(entries, roots, total)
+        if candidates is None:
+            return roots.withColumnRenamed("node", "t")
+        if tried is pairs:  # of the later rounds, only texts that share a key
+            prints = staged(prints.join(entries.select("t").union(candidates.select("a")).distinct(), "t", "left_semi"), "near-prints")
+
+
+def next_pairs(entries: DataFrame, roots: DataFrame, total: int) -> tuple[DataFrame | None, DataFrame]:
+    """A round's pairs (a, b) of texts that share a key but no class yet, and the entries (key, t) left for later rounds.
+
+    In each key, some texts from outside its largest class are hubs: they are paired with all the key's texts of other
+    classes and then leave it.  All others stay, those joined with a hub too, as they may link a third text that the hub is
+    unlike.  A key is done when one class is left.  So two texts of a key are compared, or known to be in one class, and
+    no round makes more than about ``total`` pairs: the fewer entries are left, the more hubs a key has.
+    """
+    classed = staged(entries.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("class")), "near-classed")
+    sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    left = staged(classed.join(largest.select("key", F.col("top.class").alias("top")), "key"), "near-left")
+    n = left.count()
+    if n == 0:
+        return None, left
+    slot = F.pmod(F.xxhash64("t"), F.lit(max(1, total // n)))
+    hubs = staged(left.filter("class <> top").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("t", "class")).alias("hub")).select("key", "hub"), "near-hubs")
+    pairs = left.join(hubs, "key").filter("class <> hub.class").select(F.col("hub.t").alias("a"), F.col("t").alias("b"))
+    return pairs, left.join(hubs.select("key", F.col("hub.t").alias("t")), ["key", "t"], "left_anti").select("key", "t")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -300,6 +300,27 @@ def test_copies_with_a_line_repeated_are_similar(spark, times):
 
 
 
+def test_every_pair_that_shares_a_key_is_compared(spark, monkeypatch):
+    # All texts share one key and no fingerprint.  They are four rows of texts, each alike only to the next and last one of
+    # its row, so that no text of the key can decide for the others.
+    def printed(batches, words):
+        import pyarrow as pa
+
+        for batch in batches:
+            t = batch.column("t").to_pylist()
+            yield pa.RecordBatch.from_pydict({"t": t, **{f"p{g}": [x * 16 + g for x in t] for g in range(8)}, "keys": [[7]] * len(t)})
+
+    monkeypatch.setattr(near_dedup, "_printed", printed)
+    monkeypatch.setattr(near_dedup, "GROUP_RADIUS", 256)
+    monkeypatch.setattr(near_dedup, "links", lambda distinct, segments: distinct.filter("false").selectExpr("fp AS a", "fp AS b"))
+    rng, rows = random.Random(5), []
+    for k in range(4):
+        words = [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(100 * i + k, " ".join(words[20 * i : 20 * i + 200])) for i in range(4)]
+    got = {r["t"]: r["root"] for r in near_dedup.similar_texts(spark.createDataFrame(rows, "t long, text string")).collect()}
+    assert got == {t: t % 100 for t, _ in rows}
+
+
 # 4
 
 
