@@ -100,23 +100,28 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def lane_bits(segments: tuple[int, ...]) -> int:
+    """Segments of one bit have lanes of one bit, so that 32 of them leave the bits above the segments free."""
+    return 1 if max(segments) == 1 else 2
+
+
 def cell_of(fp: Column, segments: tuple[int, ...]) -> Column:
-    """The popcount vector as a long: the bit count of each segment in a lane of two bits; bits above the segments stay."""
-    bits, out, start = sum(segments), F.lit(0).cast("long"), 0
+    """The popcount vector as a long: the bit count of each segment in its lane; bits above the segments stay."""
+    bits, lane, out, start = sum(segments), lane_bits(segments), F.lit(0).cast("long"), 0
     if bits < 64:
         out = fp.bitwiseAND(F.lit(signed(((1 << 64) - 1) >> bits << bits)))
     for i, width in enumerate(segments):
         mask = F.lit(signed(((1 << width) - 1) << start))
-        out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseAND(mask)).cast("long"), 2 * i))
+        out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseAND(mask)).cast("long"), lane * i))
         start += width
     return out
 
 
 def cells_near(cell: Column, segments: tuple[int, ...]) -> Column:
     """The cell and every cell at Manhattan distance 1 that some fingerprint could lie in, with nulls between them."""
-    out = [cell]
+    out, bits = [cell], lane_bits(segments)
     for i, width in enumerate(segments):
-        one, lane = F.lit(1 << 2 * i), F.shiftright(cell, 2 * i).bitwiseAND(F.lit(3))
+        one, lane = F.lit(1 << bits * i), F.shiftright(cell, bits * i).bitwiseAND(F.lit((1 << bits) - 1))
         out += [F.when(lane < width, cell + one), F.when(lane > 0, cell - one)]
     return F.array(*out)
 

@@ -229,6 +229,12 @@ def test_popcount_vectors_bound_the_distance(spark):
         assert sum(abs((r[0] >> 2 * i & 3) - (r[1] >> 2 * i & 3)) for i in range(22)) <= (a ^ b).bit_count()
 
 
+def test_cells_of_other_fingerprint_numbers_are_apart(spark):
+    values = [(g << 32) | v for g in range(8) for v in (0, *(1 << i for i in range(32)))]
+    df = spark.createDataFrame([(v,) for v in values], "fp long").select(near_dedup.cell_of(F.col("fp"), near_dedup.NARROW))
+    assert len({r[0] for r in df.collect()}) == len(values)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(50)], [(0, i) for i in range(1, 60)] + [(100, 101), (101, 100), (99, 101)]])
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
