@@ -120,17 +120,32 @@ def row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*plain, nulls).alias(f"{OWN}k1"), F.xxhash64(F.lit(7), *plain, nulls).alias(f"{OWN}k2")]
 
 
-def repeat_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each row of ``docs`` as often as ``plan`` (k1, k2, total, n) says.
+def repeated(df: DataFrame, count: Column, index: str, *, spread: bool = False, step: int = 1 << 16) -> DataFrame:
+    """Each row of ``df`` ``count`` times, numbered from 0 in the new long column ``index``.
 
-    ``total`` is spread over the ``n`` equal rows of a key as evenly as can be.  Rows whose key isn't in the plan go.
+    Numbers are made in stretches of ``step``; with ``spread`` the stretches of a row are dealt over all tasks.
     """
-    k1, k2 = f"{OWN}k1", f"{OWN}k2"
-    keyed = docs.select("*", *row_key(docs)).join(plan.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("total").alias(f"{OWN}t"), F.col("n").alias(f"{OWN}n")), [k1, k2])
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1))
-    total, n = F.col(f"{OWN}t"), F.col(f"{OWN}n")
-    copies = F.floor(total / n) + F.when(F.col(f"{OWN}r") <= total % n, 1).otherwise(0)
-    many = keyed.withColumn(f"{OWN}r", rank).withColumn(f"{OWN}c", copies.cast("int")).filter(F.col(f"{OWN}c") > 0)
-    return many.withColumn(f"{OWN}i", F.explode(F.sequence(F.lit(1), F.col(f"{OWN}c")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, first = f"{OWN}count", F.col(index) * step
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(own) - 1) / step)))
+    stretches = df.withColumn(own, count.cast("long")).filter(F.col(own) > 0).withColumn(index, starts)
+    if spread:
+        stretches = stretches.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stretches.withColumn(index, F.explode(F.sequence(first, F.least(first + step, F.col(own)) - 1))).drop(own)
+
+
+def repeat_rows(docs: DataFrame, plan: DataFrame, few: int = 1 << 17) -> DataFrame:
+    """Rows of ``docs`` by a ``plan`` (k1, k2, total, n): the ``n`` equal rows of a key are ``total`` rows of the result.
+
+    Rows whose key isn't in the plan go.  Equal rows are folded into one and that one is repeated, however many they are.
+    Where at most ``few`` keys have equal rows, a list of these is broadcast instead of shuffling all rows twice.
+    """
+    k1, k2, total, n = (f"{OWN}{x}" for x in ("k1", "k2", "t", "n"))
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    wanted = staged(plan.filter("total > 0").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("total").alias(total), F.col("n").alias(n)), "repeat-plan")
+    keyed, equal = docs.select("*", *row_key(docs)), wanted.filter(F.col(n) > 1)
+    found = equal.count()
+    out = repeated(keyed.join(wanted.filter(F.col(n) == 1), [k1, k2]), F.col(total), f"{OWN}i").select(*named)
+    if found == 0:
+        return out
+    folded = keyed.join(F.broadcast(equal) if found <= few else equal, [k1, k2]).dropDuplicates([k1, k2])
+    return out.unionByName(repeated(folded, F.col(total), f"{OWN}i", spread=True).select(*named))

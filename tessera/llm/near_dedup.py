@@ -8,10 +8,8 @@ are filed under the values within one bit of them: two share such a value if and
 no value has more than one plus the number of bits.  So no pair is missed, and no group is ever expanded into all its pairs.
 
 ``near_duplicates`` links documents whose 64-bit fingerprints differ in at most 2 bits.  ``similar_texts`` finds texts of a
-given Jaccard similarity: eight 32-bit fingerprints of a text are linked each in the same way, with segments of one bit, as
-wider ones would crowd the cells of so short a fingerprint.  A pair of texts linked by any of them must agree on three
-quarters of the 256 bits and is then verified on its whole sets of shingles.  Min-hash keys of the shingles add the pairs
-that are alike but far in bits.
+given Jaccard similarity: fingerprints are linked in the same way, min-hash keys of the shingles add the pairs that are alike
+but farther in bits, and all are verified on their whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -27,21 +25,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only_cache_of, repeat_rows, row_key, prepare_workers, staged
+from tessera.llm.common import only_cache_of, prepare_workers, repeat_rows, row_key, staged
 from tessera.llm.components import connected_components
 
 RADIUS = 2
-#: Widths of the segments, from the lowest bit on, of 64-bit and of 32-bit fingerprints.
-WIDE, NARROW = (3,) * 21 + (1,), (1,) * 32
-#: For ``similar_texts``: 32-bit fingerprints of a text, the words of their shingles, and the bits that all together may
-#: differ in, a quarter: near copies differ in some 24 of them, unrelated texts in some 120.
-GROUPS, GROUP_WORDS, GROUP_RADIUS = 8, 2, 64
-#: For ``similar_texts``: keys of a text, each of the least values of so many permutations of its shingles' hashes.  Texts of
+#: Widths of the segments, from the lowest bit on.
+SEGMENTS = (3,) * 21 + (1,)
+#: For ``similar_texts``: keys of a text, each of the least values of so many permutations of its shingles' codes.  Texts of
 #: Jaccard similarity s share a key with a chance of 1 - (1 - s ** BAND_ROWS) ** BANDS, wherever they differ: 0.9993 at 0.8.
 BANDS, BAND_ROWS = 24, 6
-_TURNS, _SHIFTS = (np.array([xxhash.xxh64_intdigest(name, seed=i) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)[:, None] for name in (b"turn", b"shift"))
-#: Bits of the bitmap that finds the texts to verify.
-MARKS = 1 << 22
+#: For ``similar_texts``: a bit of each of so many least values, and in how many of them a pair to verify may differ.  Texts
+#: of similarity s differ in (1 - s) / 2 of them, 13 at 0.8; more than 32 there with a chance below one in a million.
+SKETCH_BITS, SKETCH_RADIUS = 128, 32
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_TURNS, _SHIFTS = (np.array([xxhash.xxh32_intdigest(name, seed=i) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint32)[:, None] for name in (b"turn", b"shift"))
+#: Most bits of the bitmap that finds the texts to verify.
+MARKS = 1 << 26
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -100,52 +99,43 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def lane_bits(segments: tuple[int, ...]) -> int:
-    """Segments of one bit have lanes of one bit, so that 32 of them leave the bits above the segments free."""
-    return 1 if max(segments) == 1 else 2
-
-
-def cell_of(fp: Column, segments: tuple[int, ...]) -> Column:
-    """The popcount vector as a long: the bit count of each segment in its lane; bits above the segments stay."""
-    bits, lane, out, start = sum(segments), lane_bits(segments), F.lit(0).cast("long"), 0
-    if bits < 64:
-        out = fp.bitwiseAND(F.lit(signed(((1 << 64) - 1) >> bits << bits)))
+def cell_of(fp: Column, segments: tuple[int, ...] = SEGMENTS) -> Column:
+    """The popcount vector as a long: the bit count of each segment in a lane of two bits."""
+    out, start = F.lit(0).cast("long"), 0
     for i, width in enumerate(segments):
         mask = F.lit(signed(((1 << width) - 1) << start))
-        out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseAND(mask)).cast("long"), lane * i))
+        out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseAND(mask)).cast("long"), 2 * i))
         start += width
     return out
 
 
-def cells_near(cell: Column, segments: tuple[int, ...]) -> Column:
+def cells_near(cell: Column, segments: tuple[int, ...] = SEGMENTS) -> Column:
     """The cell and every cell at Manhattan distance 1 that some fingerprint could lie in, with nulls between them."""
-    out, bits = [cell], lane_bits(segments)
+    out = [cell]
     for i, width in enumerate(segments):
-        one, lane = F.lit(1 << bits * i), F.shiftright(cell, bits * i).bitwiseAND(F.lit((1 << bits) - 1))
+        one, lane = F.lit(1 << 2 * i), F.shiftright(cell, 2 * i).bitwiseAND(F.lit(3))
         out += [F.when(lane < width, cell + one), F.when(lane > 0, cell - one)]
     return F.array(*out)
 
 
-def values_near(fp: Column, bits: int) -> Column:
+def values_near(fp: Column) -> Column:
     """The value and those one bit away."""
-    return F.array(fp, *[fp.bitwiseXOR(F.lit(signed(1 << i))) for i in range(bits)])
+    return F.array(fp, *[fp.bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
 
 
-def links(distinct: DataFrame, segments: tuple[int, ...] = WIDE) -> DataFrame:
-    """Edges (a, b) that connect the distinct values ``fp`` within 2 bits of each other in the segments' bits.
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the distinct values ``fp`` within 2 bits of each other.
 
-    They are not every pair, but give the same components: in each bucket all are linked with the least.  Bits above the
-    segments tell groups apart that have nothing to do with each other.
+    They are not every pair, but give the same components: in each bucket all are linked with the least.
     """
-    bits = sum(segments)
-    own = distinct.select("fp", cell_of(F.col("fp"), segments).alias("own"))
-    cells = own.select("fp", F.explode(cells_near(F.col("own"), segments)).alias("cell")).filter("cell is not null")
+    own = distinct.select("fp", cell_of(F.col("fp")).alias("own"))
+    cells = own.select("fp", F.explode(cells_near(F.col("own"))).alias("cell")).filter("cell is not null")
     filled = staged(cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-cells")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
     pairs = filled.filter((F.col("n") == 2) & close).select("a", "b").distinct()
     crowded = cells.join(filled.filter("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
-    met = crowded.select("fp", F.explode(values_near(F.col("fp"), bits)).alias("value")).groupBy("value").agg(F.array_sort(F.collect_set("fp")).alias("fps")).filter("size(fps) > 1")
-    stars = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, bits)).alias("b")).filter(close).distinct()
+    met = crowded.select("fp", F.explode(values_near(F.col("fp"))).alias("value")).groupBy("value").agg(F.array_sort(F.collect_set("fp")).alias("fps")).filter("size(fps) > 1")
+    stars = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b")).filter(close).distinct()
     return pairs.union(stars)
 
 
@@ -169,98 +159,107 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fps.join(classes(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _group_prints(text: str | None) -> np.ndarray:
-    """Eight 32-bit fingerprints of a text, from its distinct pairs of words, as similarity is on distinct shingles."""
-    votes, n = np.zeros(32 * GROUPS, dtype=np.int64), 0
-    held: list[bytes] = []
-    voted: set[int] = set()
-    any_ = False
-    for chunk in chunks_of_words((text or "").encode("utf-8", "surrogatepass").lower()):
-        held += chunk
-        every = {xxhash.xxh64_intdigest(x): x for x in map(b" ".join, zip(*(islice(held, k, None) for k in range(GROUP_WORDS)), strict=False))}
-        held = held[len(held) - GROUP_WORDS + 1 :] if every else held
-        any_ = any_ or bool(every)
-        shingles = [x for h, x in every.items() if h not in voted]
-        voted.update(every)
-        for at in range(0, len(shingles), 8192):
-            votes += _bit_sums(shingles[at : at + 8192])
-        n += len(shingles)
-    if held and not any_:
-        votes, n = _bit_sums([b" ".join(held)]), 1
-    return np.packbits((2 * votes > n).reshape(GROUPS, 32), axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
-
-
-def _bit_sums(shingles: list[bytes]) -> np.ndarray:
-    """How often each of the hash bits is set."""
-    hashes = [b"".join(map(partial(xxhash.xxh128_digest, seed=seed), shingles)) for seed in range(-(-GROUPS // 4))]
-    sums = [np.unpackbits(np.frombuffer(h, dtype=np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for h in hashes]
-    return np.concatenate(sums)[: 32 * GROUPS]
+def shingle_codes(text: str | None, words: int) -> np.ndarray:
+    """A 64-bit code of each distinct shingle of a text, A-Z lower-cased, in order; a shorter text is one shingle.
 
-
-def _band_keys(text: str | None, words: int) -> np.ndarray:
-    """The keys of a text's distinct shingles, none for a text without words."""
-    least, any_ = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64), False
-    for hashes in shingle_hashes(text, words):
-        any_ = True
-        for at in range(0, len(hashes), 512):
-            least = np.minimum(least, (hashes[None, at : at + 512] * _TURNS + _SHIFTS).min(axis=1))
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), seed=i) for i, x in enumerate(least.astype("<u8").reshape(BANDS, BAND_ROWS))]
-    return np.array(keys if any_ else [], dtype=np.uint64).view(np.int64)
-
-
-def _printed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    A code mixes the hashes of the shingle's words, so each word is hashed once.
+    """
+    parts = [np.fromiter(map(xxhash.xxh64_intdigest, chunk), dtype=np.uint64, count=len(chunk)) for chunk in chunks_of_words((text or "").encode("utf-8", "surrogatepass").lower())]
+    hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    k = min(words, len(hashes))
+    if not k:
+        return hashes
+    return np.unique(_mixed([hashes[i : len(hashes) - k + 1 + i] for i in range(k)], np.uint64(k)))
+
+
+def _mixed(columns: list[np.ndarray], start: np.ndarray | np.uint64) -> np.ndarray:
+    """One 64-bit code from several, in order."""
+    with np.errstate(over="ignore"):
+        code = np.zeros_like(columns[0]) + start
+        for column in columns:
+            code = ((code ^ (code >> np.uint64(32))) + column) * _MIX
+        code = (code ^ (code >> np.uint64(29))) * _MIX
+        return code ^ (code >> np.uint64(32))
+
+
+def _least(codes: np.ndarray) -> np.ndarray:
+    """The least value of each permutation over the codes."""
+    short, least = (codes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(short), 1024):
+        least = np.minimum(least, (short[None, at : at + 1024] * _TURNS + _SHIFTS).min(axis=1))
+    return least
+
+
+def _majority(codes: np.ndarray) -> int:
+    """The SimHash of codes that vote once each."""
+    votes = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(codes), 16384):
+        votes += np.unpackbits(codes[at : at + 16384].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(codes), bitorder="little").view("<u8")[0])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(t, n, fp, s0, s1, keys): how many shingles, their SimHash, a bit of each of 128 least values, and the keys."""
     only_cache_of("near_dedup", lambda: None)
     for batch in batches:
-        texts = [x.as_py() for x in batch.column("text")]
-        made = np.array([_group_prints(x) for x in texts], dtype=np.int64).reshape(-1, GROUPS)
-        keys = pa.array([_band_keys(x, words) for x in texts], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("t"), *(pa.array(made[:, g]) for g in range(GROUPS)), keys], names=["t", *(f"p{g}" for g in range(GROUPS)), "keys"])
+        codes = [shingle_codes(x.as_py(), words) for x in batch.column("text")]
+        least = np.array([_least(x) for x in codes], dtype=np.uint32).reshape(-1, BANDS * BAND_ROWS)
+        banded = least.astype(np.uint64).reshape(-1, BANDS, BAND_ROWS)
+        keys = _mixed([banded[:, :, i] for i in range(BAND_ROWS)], np.arange(1, BANDS + 1, dtype=np.uint64)[None, :]).view(np.int64)
+        bits = np.packbits((least[:, :SKETCH_BITS] * np.uint32(0x9E3779B1)) >> np.uint32(31) == 1, axis=1).view("<i8")
+        sizes = [len(x) for x in codes]
+        prints = np.array([_majority(x) for x in codes], dtype=np.uint64).view(np.int64)
+        listed = pa.array([k if n else k[:0] for k, n in zip(keys, sizes, strict=True)], pa.list_(pa.int64()))
+        made = [batch.column("t"), pa.array(sizes, pa.int64()), pa.array(prints), pa.array(bits[:, 0]), pa.array(bits[:, 1]), listed]
+        yield pa.RecordBatch.from_arrays(made, names=["t", "n", "fp", "s0", "s1", "keys"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(x.as_py(), words)])).view(np.int64) for x in batch.column("text")]
+        sets = [shingle_codes(x.as_py(), words).view(np.int64) for x in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(sets, pa.list_(pa.int64()))], names=["t", "shingles"])
 
 
 def marked(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows whose t is in ``asked``, and a few more, without a shuffle of the rows.
+    """The rows whose t is in ``asked`` (distinct), without a shuffle of all rows' texts where that can be spared.
 
-    A bitmap of MARKS bits has a bit for each hash that is asked for.  It is broadcast: whatever the input, it has at most
-    MARKS / 64 rows.
+    A bitmap with 16 bits or more for each t asked for leaves few others to the join that follows.  It is broadcast: it
+    has at most MARKS / 64 rows whatever the input.  Where more is asked for than that bitmap can tell, rows are joined.
     """
-    place = F.pmod(F.xxhash64("t"), F.lit(MARKS))
+    count = asked.count()
+    if 16 * count > MARKS:
+        return rows.join(asked, "t", "left_semi")
+    place = F.pmod(F.xxhash64("t"), F.lit(max(1 << 12, 1 << (16 * count).bit_length())))
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
     bitmap = asked.select(place.alias("place")).select(F.shiftright("place", 6).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
     hit = rows.withColumn("place", place).withColumn("slot", F.shiftright("place", 6)).join(F.broadcast(bitmap), "slot")
-    return hit.filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+    return hit.filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns).join(asked, "t", "left_semi")
 
 
 def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(t, root) for the texts of ``rows`` (t, text) that have a near copy; t is a hash of the text.
 
     Near copies have a Jaccard similarity of ``similarity`` or more on their distinct shingles of ``words`` words, A-Z
-    lower-cased; a shorter text is one shingle, a text without words has none and is like no other.  With eight 32-bit
-    fingerprints, a pair within 23 bits of 256 differs by at most 2 bits in one of them and is linked there for certain;
-    pairs farther apart are with a chance that falls slowly.  Copies with a part appended, cut or replaced in one piece are
-    far in bits for their similarity: the keys of ``_band_keys`` link them, with a chance that only depends on the similarity.
+    lower-cased; a shorter text is one shingle, a text without words has none and is like no other.  Texts whose 64-bit
+    fingerprints of these shingles differ in at most 2 bits are candidates through the same grid as in ``near_duplicates``.
+    That radius is far less than the bits that texts at the border differ in, so texts that share a min-hash key are
+    candidates too, in rounds, until all that share one are compared or known to be in one class.  Candidates are verified
+    on their whole shingle sets, unless their sizes, or far more bits of their sketches than near copies', tell them apart.
     """
     prepare_workers(rows.sparkSession)
-    columns = [f"p{g}" for g in range(GROUPS)]
-    made = staged(rows.mapInArrow(partial(_printed, words=words), "t long, " + ", ".join(f"{c} long" for c in columns) + ", keys array<bigint>"), "near-made")
-    prints = staged(made.groupBy("t").agg(*[F.max(c).alias(c) for c in columns]), "near-prints")
-    # The number of the fingerprint goes above its 32 bits.
-    each = prints.select("t", F.explode(F.array(*[F.col(c).bitwiseOR(F.lit(g << 32)) for g, c in enumerate(columns)])).alias("fp"))
-    values = staged(each.groupBy("fp").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("n")), "near-values")
-    shared = each.join(values.filter("n > 1").select("fp", "least"), "fp").filter("t <> least").select(F.col("least").alias("a"), F.col("t").alias("b"))
-    near = links(values.select("fp"), NARROW)
+    made = rows.mapInArrow(partial(_sketched, words=words), "t long, n long, fp long, s0 long, s1 long, keys array<bigint>")
+    sketches = staged(made.dropDuplicates(["t"]).filter("n > 0"), "near-sketches")
+    values = staged(sketches.groupBy("fp").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("texts")), "near-values")
+    shared = sketches.select("t", "fp").join(values.filter("texts > 1").select("fp", "least"), "fp").filter("t <> least").select(F.col("least").alias("a"), F.col("t").alias("b"))
+    near = links(values.select("fp"))
     for side in "ab":
         near = near.join(values.select(F.col("fp").alias(side), F.col("least").alias(f"{side}{side}")), side)
     near = near.select(F.col("aa").alias("a"), F.col("bb").alias("b"))
-    keyed = made.select("t", F.explode("keys").alias("key"))
+    keyed = sketches.select("t", F.explode("keys").alias("key"))
     filled = keyed.groupBy("key").agg(F.min("t").alias("hub"), F.max("t").alias("last")).filter("hub < last").select("key", "hub")
-    entries = staged(keyed.join(filled.select("key"), "key", "left_semi").distinct(), "near-entries")
-    candidates = shared.union(near)
+    entries = staged(keyed.join(filled, "key"), "near-entries")
+    candidates = shared.union(near).union(entries.filter("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b")))
+    entries = entries.filter("t <> hub").select("key", "t")  # a hub is compared with all its key
     total, edges, tried, sets, known = entries.count(), None, None, None, None
     while True:
         linked = candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -268,15 +267,15 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
             linked = linked.join(tried, ["a", "b"], "left_anti")
         told = linked
         for side in "ab":
-            told = told.join(prints.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in columns]), side)
-        apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in columns), F.lit(0))
-        pairs = staged(told.filter(apart <= GROUP_RADIUS).select("a", "b"), "near-pairs")
+            told = told.join(sketches.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in ("n", "s0", "s1")]), side)
+        apart = F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))) + F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1")))
+        sized = F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn")
+        pairs = staged(told.filter(sized & (apart <= SKETCH_RADIUS)).select("a", "b"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         asked = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
         asked = staged(asked if known is None else asked.join(known, "t", "left_anti"), "near-asked")
         if known is None or not asked.isEmpty():
-            found = marked(rows, asked).join(asked, "t", "left_semi").mapInArrow(partial(_shingled, words=words), "t long, shingles array<bigint>")
-            found = staged(found.filter("size(shingles) > 0"), "near-sets").dropDuplicates(["t"])
+            found = staged(marked(rows, asked).dropDuplicates(["t"]).mapInArrow(partial(_shingled, words=words), "t long, shingles array<bigint>"), "near-sets")
             sets, known = (found, asked) if known is None else (sets.union(found), known.union(asked))
         both = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
@@ -288,8 +287,6 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
         candidates, entries = next_pairs(entries, roots, total)
         if candidates is None:
             return roots.withColumnRenamed("node", "t")
-        if tried is pairs:  # of the later rounds, only texts that share a key
-            prints = staged(prints.join(entries.select("t").union(candidates.select("a")).distinct(), "t", "left_semi"), "near-prints")
 
 
 def next_pairs(entries: DataFrame, roots: DataFrame, total: int) -> tuple[DataFrame | None, DataFrame]:
@@ -300,7 +297,7 @@ def next_pairs(entries: DataFrame, roots: DataFrame, total: int) -> tuple[DataFr
     unlike.  A key is done when one class is left.  So two texts of a key are compared, or known to be in one class, and
     no round makes more than about ``total`` pairs: the fewer entries are left, the more hubs a key has.
     """
-    classed = staged(entries.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("class")), "near-classed")
+    classed = entries.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("class"))
     sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     left = staged(classed.join(largest.select("key", F.col("top.class").alias("top")), "key"), "near-left")

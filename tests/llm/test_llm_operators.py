@@ -225,16 +225,10 @@ def test_popcount_vectors_bound_the_distance(spark):
     rng = random.Random(9)
     pairs = [(v, v ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 6)))) for v in (rng.getrandbits(64) for _ in range(200))]
     df = spark.createDataFrame([tuple(map(near_dedup.signed, p)) for p in pairs], "a long, b long")
-    for r, (a, b) in zip(df.select(near_dedup.cell_of(F.col("a"), near_dedup.WIDE), near_dedup.cell_of(F.col("b"), near_dedup.WIDE)).collect(), pairs, strict=True):
+    for r, (a, b) in zip(df.select(near_dedup.cell_of(F.col("a")), near_dedup.cell_of(F.col("b"))).collect(), pairs, strict=True):
         assert sum(abs((r[0] >> 2 * i & 3) - (r[1] >> 2 * i & 3)) for i in range(22)) <= (a ^ b).bit_count()
 
 
-def test_cells_of_other_fingerprint_numbers_are_apart(spark):
-    values = [(g << 32) | v for g in range(8) for v in (0, *(1 << i for i in range(32)))]
-    df = spark.createDataFrame([(v,) for v in values], "fp long").select(near_dedup.cell_of(F.col("fp"), near_dedup.NARROW))
-    assert len({r[0] for r in df.collect()}) == len(values)
-
-
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(50)], [(0, i) for i in range(1, 60)] + [(100, 101), (101, 100), (99, 101)]])
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -309,16 +303,16 @@ def test_copies_with_a_line_repeated_are_similar(spark, times):
 def test_every_pair_that_shares_a_key_is_compared(spark, monkeypatch):
     # All texts share one key and no fingerprint.  They are four rows of texts, each alike only to the next and last one of
     # its row, so that no text of the key can decide for the others.
-    def printed(batches, words):
+    def sketched(batches, words):
         import pyarrow as pa
 
         for batch in batches:
             t = batch.column("t").to_pylist()
-            yield pa.RecordBatch.from_pydict({"t": t, **{f"p{g}": [x * 16 + g for x in t] for g in range(8)}, "keys": [[7]] * len(t)})
+            yield pa.RecordBatch.from_pydict({"t": t, "n": [196] * len(t), "fp": t, "s0": t, "s1": t, "keys": [[7]] * len(t)})
 
-    monkeypatch.setattr(near_dedup, "_printed", printed)
-    monkeypatch.setattr(near_dedup, "GROUP_RADIUS", 256)
-    monkeypatch.setattr(near_dedup, "links", lambda distinct, segments: distinct.filter("false").selectExpr("fp AS a", "fp AS b"))
+    monkeypatch.setattr(near_dedup, "_sketched", sketched)
+    monkeypatch.setattr(near_dedup, "SKETCH_RADIUS", 128)
+    monkeypatch.setattr(near_dedup, "links", lambda distinct: distinct.filter("false").selectExpr("fp AS a", "fp AS b"))
     rng, rows = random.Random(5), []
     for k in range(4):
         words = [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(300)]
