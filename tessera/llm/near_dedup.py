@@ -39,6 +39,8 @@ BANDS, BAND_ROWS = 24, 6
 SKETCH_BITS, SKETCH_RADIUS = 128, 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURNS, _SHIFTS = (np.array([xxhash.xxh32_intdigest(name, seed=i) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint32)[:, None] for name in (b"turn", b"shift"))
+#: Shingles of the hubs of a round whose sets are broadcast, 32 MB.
+HUB_CODES = 1 << 22
 #: Most bits of the bitmap that finds the texts to verify.
 MARKS = 1 << 26
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -260,42 +262,58 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     entries = staged(keyed.join(filled, "key"), "near-entries")
     candidates = shared.union(near).union(entries.filter("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b")))
     entries = entries.filter("t <> hub").select("key", "t")  # a hub is compared with all its key
-    total, edges, tried, sets, known = entries.count(), None, None, None, None
+    total, texts = entries.count(), sketches.count()
+    light, edges, tried, sets, known = False, None, None, None, None
     while True:
-        linked = candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ordered = candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("hub"))
+        linked = ordered.groupBy("a", "b").agg(F.min("hub").alias("hub"))
         if tried is not None:
             linked = linked.join(tried, ["a", "b"], "left_anti")
-        told = linked
         for side in "ab":
-            told = told.join(sketches.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in ("n", "s0", "s1")]), side)
+            linked = linked.join(sketches.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in ("n", "s0", "s1")]), side)
         apart = F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))) + F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1")))
         sized = F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn")
-        pairs = staged(told.filter(sized & (apart <= SKETCH_RADIUS)).select("a", "b"), "near-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+        pairs = staged(linked.filter(sized & (apart <= SKETCH_RADIUS)).select("a", "b", "hub"), "near-pairs")
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         asked = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
         asked = staged(asked if known is None else asked.join(known, "t", "left_anti"), "near-asked")
         if known is None or not asked.isEmpty():
             found = staged(marked(rows, asked).dropDuplicates(["t"]).mapInArrow(partial(_shingled, words=words), "t long, shingles array<bigint>"), "near-sets")
             sets, known = (found, asked) if known is None else (sets.union(found), known.union(asked))
-        both = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        alike = staged(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-alike")
+        alike = staged(verified(pairs, sets, similarity, light), "near-alike")
         if edges is None or not alike.isEmpty():
             edges = alike if edges is None else edges.union(alike)
             roots = staged(connected_components(edges), "near-roots")
             edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        candidates, entries = next_pairs(entries, roots, total)
+        candidates, entries, light = next_pairs(entries, roots, sketches, total, texts)
         if candidates is None:
             return roots.withColumnRenamed("node", "t")
 
 
-def next_pairs(entries: DataFrame, roots: DataFrame, total: int) -> tuple[DataFrame | None, DataFrame]:
-    """A round's pairs (a, b) of texts that share a key but no class yet, and the entries (key, t) left for later rounds.
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, light: bool) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as that.
+
+    If ``light``, the sets of all hubs are broadcast, and that of each other text moves once, however many hubs it meets.
+    """
+    if light:
+        met = pairs.groupBy(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("t")).agg(F.collect_list("hub").alias("hubs"))
+        of_hubs = sets.join(pairs.select(F.col("hub").alias("t")).distinct(), "t", "left_semi").select(F.col("t").alias("a"), F.col("shingles").alias("x"))
+        both = met.join(sets, "t").select(F.col("t").alias("b"), F.col("shingles").alias("y"), F.explode("hubs").alias("a")).join(F.broadcast(of_hubs), "a")
+    else:
+        both = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def next_pairs(entries: DataFrame, roots: DataFrame, sketches: DataFrame, total: int, texts: int) -> tuple[DataFrame | None, DataFrame, bool]:
+    """A round's pairs (a, b) of texts that share a key but no class yet, the entries (key, t) left for later rounds, and
+    whether the hubs' sets, the first of each pair, can be broadcast.
 
     In each key, some texts from outside its largest class are hubs: they are paired with all the key's texts of other
     classes and then leave it.  All others stay, those joined with a hub too, as they may link a third text that the hub is
-    unlike.  A key is done when one class is left.  So two texts of a key are compared, or known to be in one class, and
-    no round makes more than about ``total`` pairs: the fewer entries are left, the more hubs a key has.
+    unlike.  A key is done when one class is left.  So two texts of a key are compared, or known to be in one class.  The
+    fewer entries are left, the more hubs a key has: a round makes at most about as many pairs as all texts have keys if
+    the hubs together have at most HUB_CODES shingles, else as many as there were entries at first.
     """
     classed = entries.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("class"))
     sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -303,11 +321,20 @@ def next_pairs(entries: DataFrame, roots: DataFrame, total: int) -> tuple[DataFr
     left = staged(classed.join(largest.select("key", F.col("top.class").alias("top")), "key"), "near-left")
     n = left.count()
     if n == 0:
-        return None, left
-    slot = F.pmod(F.xxhash64("t"), F.lit(max(1, total // n)))
-    hubs = staged(left.filter("class <> top").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("t", "class")).alias("hub")).select("key", "hub"), "near-hubs")
+        return None, left, False
+
+    def hubs_of(most: int) -> DataFrame:
+        slot = F.pmod(F.xxhash64("t"), F.lit(max(1, most // n)))
+        hubs = left.filter("class <> top").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("t", "class")).alias("hub"))
+        return staged(hubs.select("key", "hub"), "near-hubs")
+
+    hubs = hubs_of(BANDS * texts)
+    codes = sketches.join(hubs.select(F.col("hub.t").alias("t")).distinct(), "t", "left_semi").agg(F.sum("n")).first()[0] or 0
+    light = codes <= HUB_CODES
+    if not light:
+        hubs = hubs_of(total)
     pairs = left.join(hubs, "key").filter("class <> hub.class").select(F.col("hub.t").alias("a"), F.col("t").alias("b"))
-    return pairs, left.join(hubs.select("key", F.col("hub.t").alias("t")), ["key", "t"], "left_anti").select("key", "t")
+    return pairs, left.join(hubs.select("key", F.col("hub.t").alias("t")), ["key", "t"], "left_anti").select("key", "t"), light
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
