@@ -19,27 +19,25 @@ base AS (
     CAST(dl AS BIGINT) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, nl,
     length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS caps
   FROM d JOIN w USING (rid) JOIN dup USING (rid) LEFT JOIN cov USING (rid)),
-metric AS (
-  SELECT rid, lang, source, 0 AS m, least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS v FROM base
-  UNION ALL SELECT rid, lang, source, 1, least(1000, 1000 * n_dup_lines // greatest(nl, 1)) FROM base
-  UNION ALL SELECT rid, lang, source, 2, least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) FROM base
-  UNION ALL SELECT rid, lang, source, 3, least(1000, 10 * word_chars // greatest(n_words, 1)) FROM base
-  UNION ALL SELECT rid, lang, source, 4, least(1000, 1000 * caps // greatest(word_chars, 1)) FROM base),
+raw AS (
+  SELECT rid, lang, source, 0 AS m, 1000 * n_symbols // greatest(word_chars, 1) AS x FROM base
+  UNION ALL SELECT rid, lang, source, 1, 1000 * greatest(0, n_dup_lines - 1) // greatest(nl, 1) FROM base
+  UNION ALL SELECT rid, lang, source, 2, 1000 * caps // greatest(word_chars, 1) FROM base
+  UNION ALL SELECT rid, lang, source, 3, 100 * word_chars // greatest(n_words, 1) FROM base),
+metric AS (SELECT rid, lang, source, m, (x >> greatest(0, len(bin(x)) - 10)) << greatest(0, len(bin(x)) - 10) AS v FROM raw),
 ranked AS (
   SELECT lang, source, m, v,
     count(*) OVER (PARTITION BY lang, source, m ORDER BY v) AS r0, count(*) OVER (PARTITION BY lang, source, m) AS n0,
     count(*) OVER (PARTITION BY lang, m ORDER BY v) AS r1, count(*) OVER (PARTITION BY lang, m) AS n1,
     count(*) OVER (PARTITION BY m ORDER BY v) AS r2, count(*) OVER (PARTITION BY m) AS n2
   FROM metric),
-own AS (SELECT lang, source, m, max(n0) AS n0, max(n1) AS n1, min(CASE WHEN 4 * r0 >= n0 THEN v END) AS lo0, min(CASE WHEN 4 * r0 >= 3 * n0 THEN v END) AS hi0 FROM ranked GROUP BY ALL),
-of_lang AS (SELECT lang, m, min(CASE WHEN 4 * r1 >= n1 THEN v END) AS lo1, min(CASE WHEN 4 * r1 >= 3 * n1 THEN v END) AS hi1 FROM ranked GROUP BY ALL),
-of_all AS (SELECT m, min(CASE WHEN 4 * r2 >= n2 THEN v END) AS lo2, min(CASE WHEN 4 * r2 >= 3 * n2 THEN v END) AS hi2 FROM ranked GROUP BY ALL),
-picked AS (
-  SELECT own.lang, own.source, own.m,
-    CASE WHEN n0 >= 100 THEN lo0 WHEN n1 >= 100 THEN lo1 ELSE lo2 END AS lo,
-    CASE WHEN n0 >= 100 THEN hi0 WHEN n1 >= 100 THEN hi1 ELSE hi2 END AS hi
+own AS (SELECT lang, source, m, max(n0) AS n0, max(n1) AS n1, min(CASE WHEN 100 * r0 >= 50 * n0 THEN v END) AS lo0, min(CASE WHEN 100 * r0 >= 90 * n0 THEN v END) AS hi0 FROM ranked GROUP BY ALL),
+of_lang AS (SELECT lang, m, min(CASE WHEN 100 * r1 >= 50 * n1 THEN v END) AS lo1, min(CASE WHEN 100 * r1 >= 90 * n1 THEN v END) AS hi1 FROM ranked GROUP BY ALL),
+of_all AS (SELECT m, min(CASE WHEN 100 * r2 >= 50 * n2 THEN v END) AS lo2, min(CASE WHEN 100 * r2 >= 90 * n2 THEN v END) AS hi2 FROM ranked GROUP BY ALL),
+parents AS (
+  SELECT own.lang, own.source, own.m, n0, n1, lo0 + greatest(20, 4 * (hi0 - lo0)) AS l0, lo1 + greatest(20, 4 * (hi1 - lo1)) AS l1, lo2 + greatest(20, 4 * (hi2 - lo2)) AS l2
   FROM own JOIN of_lang ON own.lang IS NOT DISTINCT FROM of_lang.lang AND own.m = of_lang.m JOIN of_all ON own.m = of_all.m),
-limits AS (SELECT lang, source, m, hi + greatest([40, 400, 300, 40, 450][m + 1], 6 * (hi - lo)) AS lim FROM picked),
+limits AS (SELECT lang, source, m, (n0 * l0 + 100 * ((n1 * l1 + 100 * l2) // (n1 + 100))) // (n0 + 100) AS lim FROM parents),
 fine AS (
   SELECT metric.rid, bool_and(v <= lim) AS ok FROM metric
   JOIN limits ON metric.lang IS NOT DISTINCT FROM limits.lang AND metric.source IS NOT DISTINCT FROM limits.source AND metric.m = limits.m GROUP BY metric.rid),

@@ -1,10 +1,11 @@
 """Quality rules with adaptive thresholds.
 
-Each document has five integer metrics.  A sketch per language, source and metric counts documents by metric value, clipped
-to a fixed range: a histogram of at most ``BINS`` counters, so sketches of parts merge by addition and a quantile is exact
-to one unit of the metric.  Sketches of a language's sources merge into the language's, those into the corpus's.  The
-thresholds of a (language, source) are its own upper quartile plus a multiple of its quartile range, taken from the first
-of the three levels with enough documents; the joined filter rejects documents beyond them.
+Each document has four integer metrics.  A sketch per language, source and metric counts documents by metric value, rounded
+down to ten significant bits: sketches of parts merge by addition, a quantile is exact to a thousandth of its value, and the
+number of counters grows with the logarithm of the values only.  The limit of a group is its median plus ``SPREADS`` times the
+way from there to its upper quantile, so it follows the group's own upper tail.  Limits of small groups are drawn towards
+those of their language, and these towards the corpus's: a group of n documents counts n, its parent ``PRIOR_DOCS``.  The
+joined filter rejects documents beyond a limit.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import OWN, SPACES, let, staged, word_array
 
-#: Metric values are integers from 0 to BINS - 1.
-BINS = 1001
-#: Metric: (least slack over the upper quartile, the quartile range's factor).
-METRICS = {"symbols": (40, 6), "dup_lines": (400, 6), "repeats": (300, 6), "word_length": (40, 6), "capitals": (450, 6)}
+#: Metrics, the first three in thousandths of a text, the last in hundredths of a character; a document is off if one is beyond
+#: its limit.  A line's first repeat isn't counted: it may be a heading or a refrain.
+METRICS = ("symbols", "dup_lines", "capitals", "word_length")
+#: The upper quantile in per cent, the distance of the limit in ways from the median to it, and the least distance that means
+#: anything, 2 % of a text or a fifth of a character.
+UPPER, SPREADS, GRAIN = 90, 4, 20
+#: What the parent's limit counts, in documents.
+PRIOR_DOCS = 100
 WINDOW = 8
 
 
@@ -59,13 +64,19 @@ def n_dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
+def rounded_down(value: Column) -> Column:
+    """A whole number with all but its ten highest bits cleared."""
+    shift = F.greatest(F.lit(0), F.length(F.bin(value)) - 10)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+
+
 def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct of the counts and the five metrics in a reserved column.
+    """``docs`` with a struct of the counts and the metrics in a reserved column.
 
     The struct comes out of a generator, so that the planner neither computes it twice nor moves a filter on it below.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    per_mille = lambda part, whole: F.least(F.lit(BINS - 1), F.floor(F.lit(1000) * part / F.greatest(whole, F.lit(1)))).cast("int")
+    share = lambda part, whole, unit=1000: F.floor(F.lit(unit) * part / F.greatest(whole, F.lit(1))).cast("long")
     counts = F.struct(
         let(word_array(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("r"))).alias("words"),
         F.length(F.regexp_replace(text, f"[{SPACES}]+", "")).cast("long").alias("chars"),
@@ -78,13 +89,12 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def complete(c: Column) -> Column:
         words, chars = c["words"]["n"], c["chars"]
         metrics = F.array(
-            per_mille(c["symbols"], chars),
-            per_mille(c["lines"], c["n_lines"]),
-            per_mille(c["words"]["r"], words),
-            F.least(F.lit(BINS - 1), F.floor(F.lit(10) * chars / F.greatest(words, F.lit(1)))).cast("int"),
-            per_mille(c["caps"], chars),
+            share(c["symbols"], chars),
+            share(F.greatest(F.lit(0).cast("long"), c["lines"] - 1), c["n_lines"]),
+            share(c["caps"], chars),
+            share(chars, words, 100),
         )
-        return F.struct(words.alias("n_words"), c["words"]["r"].alias("n_repeat_words"), chars.alias("chars"), c["symbols"].alias("symbols"), c["lines"].alias("lines"), metrics.alias("metrics"))
+        return F.struct(words.alias("n_words"), c["words"]["r"].alias("n_repeat_words"), chars.alias("chars"), c["symbols"].alias("symbols"), c["lines"].alias("lines"), F.transform(metrics, rounded_down).alias("metrics"))
 
     return docs.withColumn(OWN, F.explode(F.transform(F.array(counts), complete)))
 
@@ -92,13 +102,13 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def sketches(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, metric, value, n): the counters of the sketches.
 
-    Partial counts merge before the shuffle, so a hot source sends at most BINS counters per metric and task.
+    Partial counts merge before the shuffle, so a hot source sends each counter once a task.
     """
     metric = F.posexplode(f"{OWN}.metrics").alias("metric", "value")
     return measured.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), metric).groupBy("lang", "source", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def thresholds(sketch: DataFrame, min_docs: int = 100) -> DataFrame:
+def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, limits): for each pair an array with the highest allowed value of each metric."""
     levels = []
     for depth, keys in enumerate((["lang", "source"], ["lang"], [])):
@@ -106,18 +116,15 @@ def thresholds(sketch: DataFrame, min_docs: int = 100) -> DataFrame:
         group = Window.partitionBy(*keys, "metric")
         run = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         ranked = merged.withColumn("run", run).withColumn("docs", F.sum("n").over(group))
-        quantile = lambda q: F.min(F.when(F.col("run") * 4 >= F.col("docs") * q, F.col("value")))
-        levels.append(ranked.groupBy(*keys, "metric").agg(F.max("docs").alias(f"docs{depth}"), quantile(1).alias(f"low{depth}"), quantile(3).alias(f"high{depth}")))
+        quantile = lambda q: F.min(F.when(F.col("run") * 100 >= F.col("docs") * q, F.col("value")))
+        high = ranked.groupBy(*keys, "metric").agg(F.max("docs").alias(f"docs{depth}"), quantile(50).alias("mid"), quantile(UPPER).alias("high"))
+        levels.append(high.withColumn(f"limit{depth}", F.col("mid") + F.greatest(F.lit(GRAIN), F.lit(SPREADS) * (F.col("high") - F.col("mid")))).drop("mid", "high"))
     own, of_lang, of_all = levels
     joined = own.withColumnsRenamed({"lang": "l", "metric": "m"})
     joined = joined.join(of_lang, F.col("l").eqNullSafe(F.col("lang")) & (F.col("m") == F.col("metric"))).drop("lang", "metric")
     joined = joined.join(of_all, F.col("m") == F.col("metric")).drop("metric")
-    level = lambda what: F.when(F.col("docs0") >= min_docs, F.col(f"{what}0")).when(F.col("docs1") >= min_docs, F.col(f"{what}1")).otherwise(F.col(f"{what}2"))
-    slack = F.array(*[F.lit(s) for s, _ in METRICS.values()])
-    factor = F.array(*[F.lit(f) for _, f in METRICS.values()])
-    high, low = level("high"), level("low")
-    limit = high + F.greatest(F.get(slack, F.col("m")), F.get(factor, F.col("m")) * (high - low))
-    each = joined.select("l", "source", "m", limit.alias("limit"))
+    drawn = lambda depth, parent: F.floor((F.col(f"docs{depth}") * F.col(f"limit{depth}") + PRIOR_DOCS * parent) / (F.col(f"docs{depth}") + PRIOR_DOCS))
+    each = joined.select("l", "source", "m", drawn(0, drawn(1, F.col("limit2"))).cast("long").alias("limit"))
     return each.groupBy(F.col("l").alias("lang"), "source").agg(F.array_sort(F.collect_list(F.struct("m", "limit"))).alias("limits")).select("lang", "source", F.transform("limits", lambda x: x["limit"]).alias("limits"))
 
 
@@ -133,7 +140,7 @@ def judged(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", sourc
     return measured.join(lim, on).withColumn(f"{OWN}failed", base_failed).withColumn(f"{OWN}kept", ~F.col(f"{OWN}failed") & within)
 
 
-def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = 100) -> DataFrame:
+def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     A null text has no words and fails the base rule.  Null languages and sources are groups of their own.  Repeated rows
@@ -141,7 +148,7 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     measured = staged(with_measures(base).drop("text"), "quality-measures")
-    limits = staged(thresholds(sketches(measured), min_docs), "quality-limits")
+    limits = staged(thresholds(sketches(measured)), "quality-limits")
     out = judged(measured, limits)
     return out.select(
         "doc_id",
@@ -155,8 +162,11 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def passing_documents(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = 100) -> DataFrame:
-    """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns."""
-    measured = with_measures(docs, text_col)
-    limits = staged(thresholds(sketches(measured, lang_col, source_col), min_docs), "quality-limits")
+def passing_documents(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns.
+
+    The measures are made once and staged beside the documents; the sketches read only them.
+    """
+    measured = staged(with_measures(docs, text_col), "quality-measured")
+    limits = staged(thresholds(sketches(measured, lang_col, source_col)), "quality-limits")
     return judged(measured, limits, lang_col, source_col).filter(f"{OWN}kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -354,6 +354,47 @@ def test_quality(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got if r["kept"])
 
 
+def brute_limit(values, parent=None):
+    """Median plus four ways to the 0.9 quantile, drawn towards the parent's limit, which counts 100 documents."""
+    values = sorted(values)
+    mid, high = (values[-(-len(values) * q // 100) - 1] for q in (50, 90))
+    own = mid + max(20, 4 * (high - mid))
+    return own if parent is None else (len(values) * own + 100 * parent) // (len(values) + 100)
+
+
+def test_limits_follow_each_source(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):  # source b writes in capitals and long words, c has many symbols, d is small
+        source = rng.choices("abcd", [3, 3, 3, 0.2])[0]
+        words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 5 if source == "a" else 12))) for _ in range(40)]
+        words = [w.upper() if source == "b" and rng.random() < 0.5 else w + "#" * (source == "c" and rng.random() < 0.3) for w in words]
+        rows.append((i, " ".join(words), rng.choice(["en", None]), source, 0))
+    measured = quality.with_measures(documents(spark, rows))
+    values = collections.defaultdict(list)
+    for r in measured.selectExpr("lang", "source", "__tessera_.metrics AS m").collect():
+        for k, v in enumerate(r["m"]):
+            for group in ((r["lang"], r["source"], k), (r["lang"], k), (k,)):
+                values[group].append(v)
+    got = {(r["lang"], r["source"]): r["limits"] for r in quality.thresholds(quality.sketches(measured)).collect()}
+    for (lang, source), limits in got.items():
+        for k, limit in enumerate(limits):
+            assert limit == brute_limit(values[lang, source, k], brute_limit(values[lang, k], brute_limit(values[k,])))
+    a, b, c = (got["en", x] for x in "abc")
+    assert a[2] < b[2] and a[0] < c[0] and a[3] < b[3]
+    # Symbols that are usual in c are off in a.
+    many = (a[0] + c[0]) // 2
+    odd = [(5000 + i, " ".join(f"{k:03}" + ("a#" if k < many else "ab") for k in range(200)), "en", x, 0) for i, x in enumerate("ac")]
+    kept = {r["doc_id"]: r["kept"] for r in rows_of(quality.judge_quality(documents(spark, rows + odd)))}
+    assert (kept[5000], kept[5001]) == (False, True)
+
+
+def test_values_are_rounded_to_ten_bits(spark):
+    values = [0, 1, 999, 1023, 1024, 1025, 4095, 123_456_789]
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.rounded_down(F.col("v")).alias("r"))
+    assert {r["v"]: r["r"] for r in df.collect()} == {v: v >> max(0, v.bit_length() - 10) << max(0, v.bit_length() - 10) for v in values}
+
+
 def test_sketches_merge(spark):
     measured = quality.with_measures(documents(spark, BASE * 3))
     whole = collections.Counter({tuple(r[:4]): r["n"] for r in quality.sketches(measured).collect()})
