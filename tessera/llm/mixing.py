@@ -4,7 +4,8 @@ A source's rate (target over size) gives every document a whole number of copies
 The flight phase moves three fractional probabilities at a time along the null space of the two balancing constraints (their
 sum, and their sum weighted with size), so both totals stay as they are, until each is 0 or 1.  A block of bounded size
 leaves at most two undecided; those of many blocks meet in blocks of the next level, until one block per source is left.
-Its flight stops at twelve, and the landing rounds these so that the source's words come nearest to the target.
+Its flight stops at twelve, and the landing draws one of the roundings of these that bring the source nearest to its target:
+so the chances of a source's last twelve units are kept only nearly.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OWN, prepare_workers, repeat_rows, row_key, staged, word_count
+from tessera.llm.common import OWN, prepare_workers, repeat_rows, repeated, row_key, staged, word_count
 
 EPS = 1e-9
 #: Undecided units that the landing of a source's last block rounds, by trying all ways.
@@ -47,7 +48,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, left: int = 2) -> np.ndarray:
     """Move the probabilities along the null space until at most ``left`` (two or more) are fractional."""
     pi = pi.copy()
-    draws = rng.random(len(pi) + 4)
+    # Every step decides a unit at least, so there are no more steps than units.
+    draws = iter(rng.random(len(pi) + 4))
     pool: list[int] = []
     for k in range(len(pi)):
         if EPS < pi[k] < 1 - EPS:
@@ -65,16 +67,18 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, left: int
                 break
             up = min((1 - pi[i]) / x if x > 0 else pi[i] / -x for i, x in zip(idx, u, strict=True) if x)
             down = min(pi[i] / x if x > 0 else (1 - pi[i]) / -x for i, x in zip(idx, u, strict=True) if x)
-            step = up if draws[k] * (up + down) < down else -down
+            step = up if next(draws) * (up + down) < down else -down
             for i, x in zip(idx, u, strict=True):
                 pi[i] = min(1.0, max(0.0, pi[i] + step * x))
-            draws[k] = (draws[k] * 7919.77) % 1.0
             pool = [i for i in pool if EPS < pi[i] < 1 - EPS]
     return np.where(pi <= EPS, 0.0, np.where(pi >= 1 - EPS, 1.0, pi))
 
 
-def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the few fractional ones so that words, and rows as far as can be, are nearest to what they were to be."""
+def landing(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, choices: int = 8) -> np.ndarray:
+    """Round the few fractional ones: one of the ``choices`` ways that come nearest to the words and rows there were to be.
+
+    A way is drawn with the chance that its units would have been drawn one by one.
+    """
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
     if not len(open_):
         return pi
@@ -82,9 +86,10 @@ def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     words = np.abs(ways @ size[open_] - pi[open_] @ size[open_])
     rows = np.abs(ways.sum(axis=1) - pi[open_].sum())
     # A row too many or too few counts as a twentieth of a mean document.
-    best = ways[np.argmin(words + 0.05 * max(1.0, size[open_].mean()) * rows)]
+    nearest = ways[np.argsort(words + 0.05 * max(1.0, size[open_].mean()) * rows, kind="stable")[:choices]]
+    chance = np.where(nearest == 1, pi[open_], 1 - pi[open_]).prod(axis=1)
     out = pi.copy()
-    out[open_] = best
+    out[open_] = nearest[rng.choice(len(nearest), p=chance / chance.sum())]
     return out
 
 
@@ -95,59 +100,64 @@ def _flown(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     last = bool(pdf["last"].iloc[0])
     pi = flight(pi, size, rng, LANDING if last else 2)
     if last:
-        pi = landing(pi, size)
+        pi = landing(pi, size, rng)
     return pdf.assign(pi=pi)[["source", "size", "k1", "k2", "h", "whole", "pi"]]
 
 
 def copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, keys: list[Column], *, weights: tuple[int, ...], budget: float, cap: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, source, size, source_size, target, k1, k2) and their copies (k1, k2, copies), a row each."""
+    """Distinct documents (doc_id, source, size, n, source_size, target, k1, k2) and their copies (k1, k2, copies).
+
+    ``n`` rows of equal keys are one unit with the copies of all of them, its fractional part drawn once: however often a
+    row repeats, no block is larger for it.
+    """
     prepare_workers(docs.sparkSession)
     key_names = [f"{OWN}k1", f"{OWN}k2"]
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keys)
-    rows = staged(keyed.withColumnsRenamed(dict(zip(key_names, ["k1", "k2"], strict=True))), "mix-rows")
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    folded = keyed.withColumnsRenamed(dict(zip(key_names, ["k1", "k2"], strict=True))).groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    rows = staged(folded, "mix-rows")
+    by_source = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("units"))
     targets = staged(source_targets(by_source, weights, budget, cap), "mix-targets")
-    most = targets.agg(F.max("n")).first()[0] or 0
+    most = targets.agg(F.max("units")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    mine = targets.select(F.col("source").alias("s"), "source_size", "target", "n")
-    joined = rows.join(mine, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", F.least(rate, F.lit(float(cap))))
-    units = joined.select("source", "size", "k1", "k2", F.xxhash64("k1", "k2").alias("h"), F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("pi"), "n")
+    mine = targets.select(F.col("source").alias("s"), "source_size", "target", "units")
+    joined = rows.join(mine, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", F.least(rate, F.lit(float(cap))) * F.col("n"))
+    units = joined.select("source", "size", "k1", "k2", F.xxhash64("k1", "k2").alias("h"), F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("pi"), "units")
     decided = units.filter(F.col("pi") == 0).select("k1", "k2", F.col("whole").alias("copies"))
     flying, level = units.filter(F.col("pi") > 0), 0
     while True:
-        n = F.col("n")
+        n = F.col("units")
         for _ in range(level):
             n = F.ceil(n / F.lit(block_rows)) * 2
         last = most <= block_rows
         blocks = F.greatest(F.lit(1), F.ceil(n / F.lit(block_rows)))
         blocked = flying.withColumn("block", F.pmod(F.col("h"), blocks).cast("long")).withColumn("last", blocks == 1).withColumn("level", F.lit(level))
-        flown = blocked.groupBy("source", "block").applyInPandas(_flown, "source string, size long, k1 long, k2 long, h long, whole int, pi double")
+        flown = blocked.groupBy("source", "block").applyInPandas(_flown, "source string, size long, k1 long, k2 long, h long, whole long, pi double")
         flown = staged(flown, "mix-flown")
-        decided = decided.unionByName(flown.filter("pi = 0 or pi = 1").select("k1", "k2", (F.col("whole") + F.col("pi").cast("int")).alias("copies")))
+        decided = decided.unionByName(flown.filter("pi = 0 or pi = 1").select("k1", "k2", (F.col("whole") + F.col("pi").cast("long")).alias("copies")))
         if last:
             break
-        flying = flown.filter("pi > 0 and pi < 1").join(targets.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        flying = flown.filter("pi > 0 and pi < 1").join(targets.select(F.col("source").alias("s"), "units"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         most = 2 * math.ceil(most / block_rows)
         level += 1
-    return joined.select("doc_id", "source", "size", "source_size", "target", "k1", "k2"), decided
+    return joined.select("doc_id", "source", "size", "n", "source_size", "target", "k1", "k2"), decided
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, block_rows: int = 2048) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
     A null text has no words; a null source is a source of its own, ranked last.  Empty texts are drawn like others and take
-    nothing.  Rows that repeat id, text and source are units of their own, with the group's copies spread evenly over them.
+    nothing.  Rows that repeat id, text and source are drawn as one, with the copies spread evenly over them.
     Reruns agree, whatever the partitions.  An empty table gives an empty table.  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = [F.xxhash64(id_col, text, source_col).alias(f"{OWN}k1"), F.xxhash64(F.lit(7), id_col, text, source_col).alias(f"{OWN}k2")]
     rows, decided = copies(docs, id_col, text_col, source_col, keys, weights=weights, budget=budget, cap=cap, block_rows=block_rows)
-    taken = decided.groupBy("k1", "k2").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n"))
-    spread = F.floor(F.col("total") / F.col("n")) + F.when(F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")) <= F.col("total") % F.col("n"), 1).otherwise(0)
-    return rows.join(taken, ["k1", "k2"]).select("doc_id", "size", "source_size", "target", (F.col("size") * spread).cast("long").alias("taken"))
+    each = repeated(rows.join(decided, ["k1", "k2"]), F.col("n"), "i", spread=True)
+    share = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("i") < F.col("copies") % F.col("n"), 1).otherwise(0)
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * share).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, block_rows: int = 2048) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
-    _, decided = copies(docs, id_col, text_col, source_col, row_key(docs), weights=weights, budget=budget, cap=cap, block_rows=block_rows)
-    return repeat_rows(docs, decided.groupBy("k1", "k2").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n")))
+    rows, decided = copies(docs, id_col, text_col, source_col, row_key(docs), weights=weights, budget=budget, cap=cap, block_rows=block_rows)
+    return repeat_rows(docs, rows.select("k1", "k2", "n").join(decided.withColumnRenamed("copies", "total"), ["k1", "k2"]))
