@@ -11,6 +11,7 @@ both under one key.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ RADIUS, HALF_RADIUS = 6, 3
 HALVES = 2
 #: Bits of each block of a half, lowest first.
 BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Ranges of ids that documents are cut into at most; beyond, the ranges grow.  Their borders pass through the driver.
+MAX_RANGES = 1 << 16
 PAIR = 1 << 32 | 1
 
 
@@ -67,6 +70,50 @@ def votes(frame: DataFrame, keys: list[str], words: str, kept: list[str]) -> Dat
     return summed.select(*keys, *kept, *prints)
 
 
+def id_ranges(ids: DataFrame, bucket_rows: int) -> tuple[list[int], int, int]:
+    """Borders between ranges of about ``bucket_rows`` non-null ids, repeated where one id has many rows; rows, null rows.
+
+    Borders are approximate quantiles, so outliers and gaps don't matter.  There are at most MAX_RANGES.
+    """
+    seen = ids.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")).first()
+    ranges = min(MAX_RANGES, math.ceil(seen["known"] / bucket_rows))
+    if ranges < 2:
+        return [], seen["n"], seen["n"] - seen["known"]
+    shares = [i / ranges for i in range(1, ranges)]
+    borders = ids.agg(F.percentile_approx("doc_id", shares, 4 * ranges).alias("q")).first()["q"]
+    return sorted(borders), seen["n"], seen["n"] - seen["known"]
+
+
+def bucket_of(borders: list[int], null_buckets: int) -> Column:
+    """The bucket of a row (doc_id, h): buckets follow each other as rows do, by descending id, null last.
+
+    An id's range is found by bisection.  Rows of an id that is a border several times, and those without id, are spread
+    over as many buckets by the hash.
+    """
+    part = lambda n: F.floor((F.shiftright("h", 33) + (1 << 30)) * n / F.lit(1 << 31)).cast("long")
+    last = len(borders)
+    if not borders:
+        known = F.lit(0).cast("long")
+    else:
+        # A string that the planner folds into one constant array.
+        places = F.split(F.lit(",".join(map(str, borders))), ",").cast("array<bigint>")
+
+        def below(or_equal: bool) -> Column:
+            """How many borders are less than the id, or equal to it."""
+
+            def step(found: Column, width: Column) -> Column:
+                value = F.get(places, found + width - 1)
+                passed = (value <= F.col("doc_id")) if or_equal else (value < F.col("doc_id"))
+                return F.when((found + width <= last) & passed, found + width).otherwise(found)
+
+            widths = [1 << k for k in reversed(range(last.bit_length()))]
+            return F.aggregate(F.array(*map(F.lit, widths)), F.lit(0), step)
+
+        first, end = below(False), below(True)
+        known = F.lit(last).cast("long") - end + F.when(end - first > 1, part(end - first)).otherwise(0)
+    return F.when(F.col("doc_id").isNotNull(), known).otherwise(F.lit(last + 1) + part(F.lit(max(1, null_buckets)))).cast("long")
+
+
 def with_next(base: DataFrame, bucket_rows: int = 1024) -> DataFrame:
     """``base`` (doc_id, text) in buckets of neighbouring ids, with the text of the next document.
 
@@ -74,24 +121,19 @@ def with_next(base: DataFrame, bucket_rows: int = 1024) -> DataFrame:
     holds the first row of the bucket after it, marked ``ghost``, so that each bucket can be worked on alone: (bucket, rn,
     ghost, doc_id, text, next_text).
     """
-    span = base.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    width = max(1, (hi - lo) * bucket_rows // max(1, span["n"]) + 1)
-    told = F.xxhash64("text")
-    # Buckets in the order of their rows: non-null ids from the highest on, then null ids by their hash.
-    bucket = F.when(F.col("doc_id").isNotNull(), F.floor((F.lit(hi) - F.col("doc_id")) / F.lit(width))).otherwise(F.lit((hi - lo) // width + 1) + F.shiftrightunsigned(told, 52)).cast("long")
-    order = [F.col("neg"), F.col("h")]
-    keyed = base.select("doc_id", "text", bucket.alias("bucket"), F.coalesce(-F.col("doc_id"), F.lit(0)).alias("neg"), told.alias("h"))
-    heads = keyed.groupBy("bucket").agg(F.min(F.struct("neg", "h")).alias("head"))
-    every = Window.orderBy("bucket")
-    # One row per bucket of about bucket_rows documents.
-    before = F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(Window.partitionBy()))
-    heads = staged(heads.select(F.col("bucket").alias("of"), F.col("head.neg").alias("n1"), F.col("head.h").alias("h1"), before.alias("before")), "print-heads")
-    is_head = (F.col("bucket") == F.col("of")) & (F.col("neg") == F.col("n1")) & (F.col("h") == F.col("h1"))
-    marked = keyed.join(heads, is_head, "left")
+    borders, _, nulls = id_ranges(base.select("doc_id"), bucket_rows)
+    keyed = base.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket_of(borders, min(MAX_RANGES, math.ceil(nulls / bucket_rows))))
+    # First of a bucket: the highest id, then the least hash, whose complement is the highest.
+    heads = keyed.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("c"))).alias("head")).select("bucket", "head.doc_id", "head.c")
+    # At most one row per bucket: some two times MAX_RANGES, whatever the input.
+    found = sorted(heads.collect(), key=lambda r: r["bucket"])
+    linked = [(r["bucket"], r["doc_id"], ~r["c"], found[i - 1]["bucket"]) for i, r in enumerate(found)]
+    heads = base.sparkSession.createDataFrame(linked, "of long, id1 long, h1 long, before long")
+    is_head = (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id1")) & (F.col("h") == F.col("h1"))
+    marked = keyed.join(F.broadcast(heads), is_head, "left")
     places = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("b"), F.lit(1).alias("ghost")))))
-    dealt = marked.select("doc_id", "text", "neg", "h", F.explode(places).alias("p")).select(F.col("p.b").alias("bucket"), F.col("p.ghost").alias("ghost"), "doc_id", "text", "neg", "h")
-    window = Window.partitionBy("bucket").orderBy("ghost", *order)
+    dealt = marked.select("doc_id", "text", "h", F.explode(places).alias("p")).select(F.col("p.b").alias("bucket"), F.col("p.ghost").alias("ghost"), "doc_id", "text", "h")
+    window = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "h")
     return dealt.select("bucket", F.row_number().over(window).cast("long").alias("rn"), F.col("ghost").cast("long").alias("ghost"), "doc_id", "text", F.coalesce(F.lead("text").over(window), F.lit("")).alias("next_text"))
 
 
