@@ -1,6 +1,6 @@
 """DuckDB SQL with the same results as the queries of this subpackage, where SQL can express them."""
 
-from tessera.llm.licences import RULES, SENTENCES
+from tessera.llm.licences import RULES, known_sentences
 
 _QUALITY = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, lang, source FROM documents),
@@ -91,20 +91,31 @@ FROM r
 
 
 def _licences() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES)
+    known = ", ".join(f"('{s}', '{i}')" for s, i in known_sentences().items())
     steps, left = [], "left0"
     for i, (_, sequence) in enumerate(RULES):
         part = "".join(f"|{x}|" for x in sequence)
         steps.append(f"step{i + 1} AS (SELECT * EXCLUDE ({left}), contains({left}, '{part}') AS hit{i}, replace({left}, '{part}', '-') AS left{i + 1} FROM step{i})")
         left = f"left{i + 1}"
     names = ", ".join(f"CASE WHEN hit{i} THEN '{name}' END" for i, (name, _) in enumerate(RULES))
+    norm = "regexp_replace(trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), '^([0-9]+|[a-z]) ', '')"
+    cut = "t"
+    for pattern, mark in (
+        (r"([.!?])([\x20\x09-\x0D])", r"'\1' || chr(30) || '\2'"),
+        (r":([\x20\x09\x0B-\x0D]*\n)", r"chr(30) || '\1'"),
+        (r":([\x20\x09-\x0D]+\(?[0-9]+[.)])", r"chr(30) || '\1'"),
+        (r"\n[\x20\x09\x0B-\x0D]*\n", "chr(30)"),
+    ):
+        cut = f"regexp_replace({cut}, '{pattern}', {mark}, 'g')"
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-cut AS (SELECT rid, string_split(regexp_replace(regexp_replace(t, '([.!?;:])([\x20\x09\x0B-\x0D])', chr(10) || '\2', 'g'), '[.!?;:](\n|$)', chr(10), 'g'), chr(10)) AS parts FROM d),
-each AS (SELECT rid, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
-norm AS (SELECT rid, i, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s FROM each),
-found AS (SELECT rid, list(id ORDER BY i) AS ids FROM norm JOIN known ON s = sentence GROUP BY rid),
+cut AS (SELECT rid, string_split({cut}, chr(30)) AS parts FROM d),
+unit AS (SELECT rid, unnest(parts) AS u, generate_subscripts(parts, 1) AS i FROM cut),
+whole AS (SELECT rid, i, u, id FROM unit LEFT JOIN known ON {norm.format("u")} = sentence),
+line AS (SELECT rid, i, unnest(string_split(u, chr(10))) AS s, generate_subscripts(string_split(u, chr(10)), 1) AS j FROM whole WHERE id IS NULL AND contains(u, chr(10))),
+every AS (SELECT rid, i, 0 AS j, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT rid, i, j, known.id FROM line JOIN known ON {norm.format("s")} = sentence),
+found AS (SELECT rid, list(id ORDER BY i, j) AS ids FROM every GROUP BY rid),
 step0 AS (SELECT doc_id, coalesce(ids, []) AS ids, CASE WHEN ids IS NULL THEN '' ELSE '|' || array_to_string(ids, '||') || '|' END AS left0 FROM d LEFT JOIN found USING (rid)),
 {", ".join(steps)}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
