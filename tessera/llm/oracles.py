@@ -57,24 +57,32 @@ named AS (
   SELECT *, regexp_replace(host, ':\d*$', '') AS nm FROM h),
 parts AS (
   SELECT host, n, bad,
-    array_to_string(string_split(nm, '.')[greatest(1, len(string_split(nm, '.')) - CASE WHEN two THEN 2 ELSE 1 END):], '.') AS domain,
-    array_to_string(string_split(nm, '.')[greatest(1, len(string_split(nm, '.')) - CASE WHEN two THEN 1 ELSE 0 END):], '.') AS suffix
-  FROM (SELECT *, array_to_string(string_split(nm, '.')[greatest(1, len(string_split(nm, '.')) - 1):], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'ne.jp', 'or.jp', 'co.kr', 'com.br', 'com.cn', 'com.mx', 'co.in', 'co.za', 'com.tr', 'com.tw', 'com.sg') AS two FROM named)),
-s AS (
-  SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS nn, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bb, CAST(coalesce(sum(n * n), 0) AS DOUBLE) AS n2,
-    CAST(count(*) FILTER (n > 0) AS DOUBLE) AS k, coalesce(sum(CASE WHEN n > 0 THEN CAST(bad * bad AS DOUBLE) / n ELSE 0.0 END), 0.0) AS ss
-  FROM parts),
-v AS (SELECT *, (ss - bb * bb / nn) / (k - 1) AS btw, (bb - ss) / (nn - k) AS wit, (nn - n2 / nn) / (k - 1) AS sz FROM s),
+    CASE WHEN num THEN nm ELSE array_to_string(string_split(nm, '.')[greatest(1, len(string_split(nm, '.')) - CASE WHEN two THEN 2 ELSE 1 END):], '.') END AS domain,
+    CASE WHEN num THEN '' ELSE array_to_string(string_split(nm, '.')[greatest(1, len(string_split(nm, '.')) - CASE WHEN two THEN 1 ELSE 0 END):], '.') END AS suffix
+  FROM (SELECT *, regexp_matches(nm, '^[0-9.]+$|^\[') AS num, array_to_string(string_split(nm, '.')[greatest(1, len(string_split(nm, '.')) - 1):], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'ne.jp', 'or.jp', 'co.kr', 'com.br', 'com.cn', 'com.mx', 'co.in', 'co.za', 'com.tr', 'com.tw', 'com.sg') AS two FROM named)),
+doms AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, sum(n * n) AS sq FROM parts GROUP BY domain, suffix),
+sufs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, sum(n * n) AS sq FROM doms GROUP BY suffix),
+tot AS (SELECT sum(n) AS n, sum(bad) AS bad, sum(n * n) AS sq FROM sufs),
+each AS (
+  SELECT 0 AS lev, n, bad, 0 AS sq FROM parts UNION ALL SELECT 1, n, bad, sq FROM doms UNION ALL SELECT 2, n, bad, sq FROM sufs UNION ALL SELECT 3, n, bad, sq FROM tot),
+spread AS (
+  SELECT lev, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b, count(*) FILTER (n > 0) AS k,
+    sum(CASE WHEN n > 0 THEN CAST(bad * bad AS DOUBLE) / n ELSE 0.0 END) AS s, sum(CASE WHEN n > 0 THEN CAST(sq AS DOUBLE) / n ELSE 0.0 END) AS q FROM each GROUP BY lev),
+anova AS (
+  SELECT g.lev, g.k - p.k AS more, g.n - g.k AS extra, (g.s - p.s) / (g.k - p.k) AS btw, (g.b - g.s) / (g.n - g.k) AS wit, (g.n - p.q) / (g.k - p.k) AS sz FROM spread g JOIN spread p ON p.lev = g.lev + 1),
+st AS (
+  SELECT lev, CASE WHEN more <= 0 OR extra <= 0 THEN 10.0 WHEN wit <= 0 THEN 1.0 WHEN btw <= wit THEN 10.0
+    ELSE greatest(1.0, least(10.0, round((1 - (btw - wit) / (btw + (sz - 1) * wit)) / ((btw - wit) / (btw + (sz - 1) * wit)), 3))) END AS m FROM anova),
 one AS (
-  SELECT CASE WHEN k > 1 AND nn > k AND wit > 0 THEN
-      CASE WHEN btw <= wit THEN 1000.0 ELSE greatest(1.0, least(1000.0, round((1 - (btw - wit) / (btw + (sz - 1) * wit)) / ((btw - wit) / (btw + (sz - 1) * wit)), 3))) END
-    ELSE 10.0 END AS m, CASE WHEN nn > 0 THEN bb / nn ELSE 0.5 END AS mean0 FROM v),
-sx AS (SELECT suffix, (sum(bad) + any_value(m) * any_value(mean0)) / (sum(n) + any_value(m)) AS mean1 FROM parts, one GROUP BY suffix),
-dm AS (SELECT domain, (sum(bad) + any_value(m) * any_value(mean1)) / (sum(n) + any_value(m)) AS mean2 FROM parts JOIN sx USING (suffix), one GROUP BY domain, suffix),
-hm AS (SELECT host, n, m, (bad + m * mean2) / (n + m) AS mean FROM parts JOIN dm USING (domain), one),
-hb AS (SELECT host, mean, greatest(0.0, mean - 2.0 * sqrt(mean * (1 - mean) / (n + m + 1))) AS bound FROM hm),
+  SELECT CAST(n AS DOUBLE) AS nn, CAST(bad AS DOUBLE) AS bb, CASE WHEN n > 0 THEN bad / n ELSE 0.5 END AS share,
+    (SELECT m FROM st WHERE lev = 0) AS m0, (SELECT m FROM st WHERE lev = 1) AS m1, (SELECT m FROM st WHERE lev = 2) AS m2 FROM tot),
+pri AS (
+  SELECT domain, suffix, doms.n AS dn, doms.bad AS db, (sufs.bad - doms.bad + m2 * ((bb - sufs.bad + share) / (nn - sufs.n + 1.0))) / (sufs.n - doms.n + m2) AS above
+  FROM doms JOIN sufs USING (suffix), one),
+hm AS (SELECT host, n, m0, share, (bad + m0 * ((db - bad + m1 * above) / (dn - n + m1))) / (n + m0) AS mean FROM parts JOIN pri USING (domain, suffix), one),
+hb AS (SELECT host, mean, share, greatest(0.0, mean - 1.28 * sqrt(mean * (1 - mean) / (n + m0 + 1))) AS bound FROM hm),
 r AS (
-  SELECT page_id, host, path, mean, bound,
+  SELECT page_id, host, path, mean, bound, share,
     CASE
       WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
       WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -84,7 +92,7 @@ r AS (
     END AS rule
   FROM p JOIN hb USING (host))
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > share THEN 'block' ELSE 'allow' END AS verdict,
   round(mean, 6) AS bad_mean, round(bound, 6) AS bad_bound
 FROM r
 """
@@ -125,19 +133,31 @@ FROM step{len(RULES)}
 
 
 _CHAT = r"""
-WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, CASE WHEN conv_id IS NULL THEN 'single' WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, role, text FROM conversations),
-p AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position FROM t),
+WITH p AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position, role, text
+  FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT c, max(position) AS last_answer FROM p WHERE role = 'assistant' GROUP BY c),
+pair AS (SELECT a.c, a.last_answer, p.role, p.text FROM last a JOIN last b ON xor(a.c, 1) = b.c JOIN p ON p.c = b.c AND p.position = b.last_answer),
+sides AS (
+  SELECT p.c, CASE WHEN last_answer IS NULL THEN 'single' ELSE 'chosen' END AS side, position, p.role, p.text FROM p LEFT JOIN pair USING (c)
+  UNION ALL SELECT p.c, 'rejected', position, p.role, p.text FROM p JOIN pair USING (c) WHERE position < last_answer
+  UNION ALL SELECT c, 'rejected', last_answer, role, text FROM pair),
 met AS (
-  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.position, r.position) AS position, c.pair_id IS NOT NULL AS has_c, r.pair_id IS NOT NULL AS has_r,
-    c.pair_id IS NOT NULL AND r.pair_id IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS same
-  FROM (SELECT * FROM p WHERE side = 'chosen') c FULL JOIN (SELECT * FROM p WHERE side = 'rejected') r ON c.pair_id = r.pair_id AND c.position = r.position),
-ends AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN position END), max(position) + 1) AS fork, bool_or(has_c) AND bool_or(has_r) AS paired FROM met GROUP BY pair_id),
-j AS (SELECT p.*, fork, coalesce(paired, FALSE) AS paired FROM p LEFT JOIN ends ON p.pair_id = ends.pair_id)
-SELECT pair_id, CASE WHEN NOT paired THEN 'single' WHEN position < fork THEN 'prompt' ELSE side END AS part, CAST(position AS BIGINT) AS position, role,
-  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS content,
-  paired AND position >= fork AND coalesce(role = 'assistant', FALSE) AS loss
-FROM j WHERE NOT paired OR position >= fork OR side = 'chosen'
+  SELECT coalesce(x.c, y.c) AS c, coalesce(x.position, y.position) AS position, x.c IS NOT NULL AND y.c IS NOT NULL AND x.role IS NOT DISTINCT FROM y.role AND x.text IS NOT DISTINCT FROM y.text AS same
+  FROM (SELECT * FROM sides WHERE side = 'chosen') x FULL JOIN (SELECT * FROM sides WHERE side = 'rejected') y ON x.c = y.c AND x.position = y.position),
+ends AS (SELECT c, coalesce(min(CASE WHEN NOT same THEN position END), max(position) + 1) AS fork FROM met GROUP BY c),
+parts AS (
+  SELECT sides.c, CASE WHEN side = 'single' THEN side WHEN position < fork THEN 'prompt' ELSE side END AS part, CASE WHEN side <> 'single' AND position >= fork THEN position - fork ELSE position END AS position,
+    '<|' || coalesce(role, '') || '|>' || chr(10) AS head, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS content, coalesce(role = 'assistant', FALSE) AS trained
+  FROM sides LEFT JOIN ends USING (c) WHERE side <> 'rejected' OR position >= fork),
+cut AS (SELECT *, position // 512 AS record, coalesce(sum(length(content)) OVER (PARTITION BY c, part, position // 512 ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM parts)
+SELECT c AS pair_id, CAST(record AS BIGINT) AS record,
+  string_agg(content, '' ORDER BY position) FILTER (part = 'prompt') AS prompt, string_agg(content, '' ORDER BY position) FILTER (part = 'chosen') AS chosen,
+  string_agg(content, '' ORDER BY position) FILTER (part = 'rejected') AS rejected, string_agg(content, '' ORDER BY position) FILTER (part = 'single') AS single,
+  CASE WHEN count(*) FILTER (part = 'chosen') > 0 THEN coalesce(string_agg((CAST(shift AS BIGINT) + length(head)) || '-' || (CAST(shift AS BIGINT) + length(content)), ',' ORDER BY position) FILTER (part = 'chosen' AND trained), '') END AS chosen_loss,
+  CASE WHEN count(*) FILTER (part = 'rejected') > 0 THEN coalesce(string_agg((CAST(shift AS BIGINT) + length(head)) || '-' || (CAST(shift AS BIGINT) + length(content)), ',' ORDER BY position) FILTER (part = 'rejected' AND trained), '') END AS rejected_loss
+FROM cut GROUP BY c, record
+UNION ALL SELECT NULL, 0, NULL, NULL, NULL, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), NULL, NULL FROM conversations WHERE conv_id IS NULL
 """
 
 SQL: dict[str, str] = {"op4_quality_rules": _QUALITY, "op5_url_filters": _URLS, "op6_licence_scans": _licences(), "op9_chat_formatting": _CHAT}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import encode_documents
-from tessera.llm.chat import format_preferences
+from tessera.llm.chat import preference_data
 from tessera.llm.fingerprints import fingerprint_documents
 from tessera.llm.language import identify_languages
 from tessera.llm.licences import scan_licences
@@ -57,7 +57,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(_table(spark, sf_dir, "conversations"))
+    return preference_data(_table(spark, sf_dir, "conversations"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import unicodedata
 import zlib
 
@@ -114,6 +115,39 @@ def test_fingerprints(spark, bucket_rows):
     assert rows_of(fingerprints.fingerprint_documents(empty(spark))) == []
 
 
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+IDS = {
+    "wide": [LOW, LOW + 1, -9 * 10**18, -1, 0, 1, 9 * 10**18, HIGH],
+    "outlier": [*range(40), 1 << 60],
+    "null": [None] * 30,
+    "equal": [7] * 30,
+    "hot": [5] * 30 + list(range(12)) + [None] * 5,
+    "hashes": [random.Random(i).getrandbits(64) - (1 << 63) for i in range(40)],
+    "one": [3],
+}
+
+
+@pytest.mark.parametrize("name", IDS)
+@pytest.mark.parametrize("bucket_rows", [2, 1024])
+def test_next_document_whatever_the_ids(spark, name, bucket_rows):
+    rows = [(d, f"text {i} of words {i * i}") for i, d in enumerate(IDS[name])]
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(fingerprints.with_next(base, bucket_rows).filter("ghost = 0"))
+    hashes = {r["text"]: r["h"] for r in base.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    assert {(r["doc_id"], r["text"]): r["next_text"] for r in got} == {order[i]: order[(i + 1) % len(order)][1] for i in range(len(order))}
+    assert len(got) == len(rows)
+    if bucket_rows == 2 and len(rows) > 8:  # no range is much fuller than meant
+        assert max(collections.Counter(r["bucket"] for r in got).values()) <= 12
+    full = fingerprints.fingerprint_documents(base, bucket_rows=bucket_rows)
+    assert full.count() == len(rows)
+
+
+def test_fingerprints_have_no_window_over_all_rows(spark):
+    plan = fingerprints.with_next(documents(spark).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(128) for _ in range(40)]
@@ -355,6 +389,7 @@ def test_every_pair_that_shares_a_key_is_compared(spark, monkeypatch):
 
     monkeypatch.setattr(near_dedup, "_sketched", sketched)
     monkeypatch.setattr(near_dedup, "SKETCH_RADIUS", 128)
+    monkeypatch.setattr(near_dedup, "FINE_RADIUS", 1024)
     monkeypatch.setattr(near_dedup, "links", lambda distinct: distinct.filter("false").selectExpr("fp AS a", "fp AS b"))
     rng, rows = random.Random(5), []
     for k in range(4):
@@ -450,6 +485,31 @@ def test_sketches_merge(spark):
 # 5
 
 
+def urls_of_numbers(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("1.2.3.4:80", "[::1]:8080", "x.a.co.uk", "y.x.b.org:1", "localhost")], "host string")
+    return sorted(tuple(r) for r in hosts.select(*urls.registered_domain(F.col("host"))).collect())
+
+
+def test_reputation_follows_the_levels(spark):
+    # Hosts: (name, labelled pages, bad ones).  All of bad.org is bad, one host of mixed.net is, and new hosts have no page.
+    hosts = [("a.bad.org", 30, 27), ("b.bad.org", 20, 19), ("c.bad.org", 0, 0), ("a.mixed.net", 40, 36), *((f"h{i}.mixed.net", 40, 2) for i in range(9)), ("new.mixed.net", 0, 0), *((f"w{i}.good{i % 4}.edu", 50, 3) for i in range(20)), ("new.edu", 0, 0)]
+    told, share = urls.host_reputation(spark.createDataFrame(hosts, "host string, n long, bad long"))
+    got = {r["host"]: (r["mean"], r["bound"]) for r in told.collect()}
+    assert abs(share - sum(h[2] for h in hosts) / sum(h[1] for h in hosts)) < 1e-12 and len(got) == len(hosts)
+    assert {h for h, (_, bound) in got.items() if bound > share} == {"a.bad.org", "b.bad.org", "c.bad.org", "a.mixed.net"}
+    assert got["c.bad.org"][0] > 0.6 > got["new.mixed.net"][0] > got["new.edu"][0]  # a host without pages is like its domain
+    assert all(bound <= mean <= 1 for mean, bound in got.values())
+
+
+def test_no_outcome_counts_twice(spark):
+    # A domain's only host has no evidence from its own domain: its prior comes from the suffix and the corpus.
+    hosts = [("x.one.org", 10, 10), ("y.two.org", 10, 0), ("z.three.org", 10, 0)]
+    got = {r["host"]: r["mean"] for r in urls.host_reputation(spark.createDataFrame(hosts, "host string, n long, bad long"))[0].collect()}
+    # Each prior counts 10 pages, as no level has several groups in a parent but domains.  The rest of .org has 20 good pages
+    # and draws a third from the corpus, which has no other suffix: 10 / 3 of 30.
+    assert abs(got["x.one.org"] - (10 + 10 * (10 / 3 / 30)) / 20) < 1e-9 and got["y.two.org"] == got["z.three.org"]
+
+
 def test_urls(spark):
     pages = [
         (1, "http://Example.COM/en/x?q"), (2, "https://www.example.com/en/"), (3, "https://a.www.example.com/en/1"), (4, "http://x.net/es/1"), (5, "http://x.net/fr/1#t"),
@@ -468,6 +528,7 @@ def test_urls(spark):
     assert by_id[9][:3] == ("a.com", "", None) and by_id[10][:3] == ("a.com", "", None) and by_id[11][2:] == ("com/", "allow")
     assert by_id[13][:2] == ("Äb.org", "/p://q")
     assert all(by_id[100 + i][3] == "block" for i in range(60)) and all(by_id[200 + i][3] == "allow" for i in range(60))
+    assert urls_of_numbers(spark) == [("1.2.3.4", ""), ("[::1]", ""), ("a.co.uk", "co.uk"), ("b.org", "org"), ("localhost", "localhost")]
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["verdict"] for r in rows_of(urls.filter_urls(df.filter("page_id >= 100"), none))} <= {"allow", "block"}
     assert rows_of(urls.filter_urls(df.filter("false"), none)) == []
@@ -478,22 +539,73 @@ def test_urls(spark):
 # 6
 
 
-def test_licences(spark):
-    texts = {
-        1: ("Intro.\nReleased under the MIT License.\nMore", "MIT"),
-        2: ("licensed under the apache license, version 2.0. Also: Licensed under CC BY-NC 4.0.", "Apache-2.0,CC-BY-NC-4.0"),
-        3: ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice.\nRedistributions in binary form must reproduce the above copyright notice.", "BSD-2-Clause"),
-        4: ("the MIT License is mentioned", ""),
-        5: (None, ""),
-        6: ("", ""),
-        7: ("Released under the MIT License. " * 500, "MIT"),
-    }
-    got = rows_of(licences.scan_licences(spark.createDataFrame([(i, t, "x") for i, (t, _) in texts.items()], "doc_id long, text string, licences string")))
-    assert {r["doc_id"]: r["licences"] for r in got} == {i: w for i, (_, w) in texts.items()}
-    assert {r["doc_id"]: r["n_sentences"] for r in got}[7] == 500
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+AS_IS = """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+GNU = """This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2}General Public License for more details."""
+NOTICES = {
+    "MIT": MIT,
+    "BSD-2-Clause": BSD2 + AS_IS,
+    "BSD-3-Clause": BSD3 + AS_IS,
+    "GPL-2.0-or-later": GNU.format("program", ";", "", ";", "2"),
+    "GPL-3.0-or-later": GNU.format("program", ":", "", ",", "3"),
+    "LGPL-2.1-or-later": GNU.format("library", ";", "Lesser ", ";", "2.1"),
+    "LGPL-3.0-or-later": GNU.format("library", ":", "Lesser ", ",", "3"),
+    "AGPL-3.0-or-later": GNU.format("program", ":", "Affero ", ",", "3"),
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+}
+
+
+def commented(text, mark, width):
+    return "\n".join(f"{mark}{line}".rstrip() for part in text.split("\n") for line in (textwrap.wrap(part, width) or [""]))
+
+
+def licence_texts():
+    """Texts and the licences in them."""
+    out = []
+    for name, text in NOTICES.items():
+        one_line = re.sub(r"\s+", " ", text)
+        out += [(t, name) for t in (text, text.replace("\n", "\r\n"), one_line, f"Some words before it.\n\n{text}\n\nand after it", f"Copyright (c) 2020 X\n\n{text}")]
+        out += [(commented(text, mark, width), name) for mark in ("", " * ", "# ", "// ", "    ") for width in (50, 65, 72, 79, 100)]
+    out += [(f"// SPDX-License-Identifier: {tag}\nint main;", tag) for tag in licences.TAGS]
+    out += [(BSD3.replace("1. ", " * ").replace("2. ", " * ").replace("3. ", " * "), "BSD-3-Clause"), (BSD2.replace("1. ", "(1) ").replace("2. ", "(2) "), "BSD-2-Clause"), (BSD2.replace("1. ", "a) ").replace("2. ", "b) "), "BSD-2-Clause")]
+    out += [(NOTICES["Apache-2.0"].replace("; you", ";\nyou"), "Apache-2.0"), (MIT + "\n\n" + NOTICES["Apache-2.0"], "Apache-2.0,MIT")]
+    out += [("Intro\nReleased under the MIT License\nMore", "MIT"), ("Intro.\nReleased under the MIT License.\nMore", "MIT"), ("licensed under the apache license, version 2.0. Also: Licensed under CC BY-NC 4.0.", "Apache-2.0"), ("licensed under the apache license, version 2.0. Licensed under CC BY-NC 4.0.", "Apache-2.0,CC-BY-NC-4.0")]
+    out += [("the MIT License is mentioned", ""), (None, ""), ("", ""), ("\n\n. .\n:", ""), ("Released under the MIT License. " * 500, "MIT"), ("no end " * 100_000, "")]
     # Order matters: the conditions before the grant are no BSD licence.
-    turned = "\n".join(reversed(texts[3][0].split("\n")))
-    assert rows_of(licences.scan_licences(spark.createDataFrame([(1, turned)], "doc_id long, text string")))[0]["licences"] == ""
+    return out + [("\n\n".join(reversed(BSD2.split("\n\n"))), "")]
+
+
+def test_licences(spark):
+    texts = licence_texts()
+    got = {r["doc_id"]: r for r in rows_of(licences.scan_licences(spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(texts)], "doc_id long, text string, licences string")))}
+    assert [(texts[i][0], got[i]["licences"]) for i in range(len(texts)) if got[i]["licences"] != texts[i][1]] == []
+    assert max(r["n_sentences"] for r in got.values()) == 500
     assert rows_of(licences.scan_licences(empty(spark))) == []
 
 
@@ -647,27 +759,54 @@ def test_a_row_repeated_many_times(spark):
 # 9
 
 
+TURNS = [
+    (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "more"), (0, 3, "assistant", "A"),
+    (1, 0, "user", "hey"), (1, 1, "assistant", "B"), (1, 2, None, None), (2, 0, "user", "alone"), (4, 0, "user", "x"), (4, 1, "assistant", "y"),
+    (5, 0, "user", "x"), (5, 1, "assistant", "y"), (6, 0, "system", "s"), (7, 5, "assistant", "s"), (None, 0, "user", "?"), (None, 0, "user", "?"),
+    (8, 0, None, None), (8, 0, None, None), (8, None, "assistant", "first"), (9, 3, "assistant", "q"), (9, 3, "assistant", "q"),
+]
+
+
+def conversations(spark, turns=TURNS):
+    return spark.createDataFrame([(*t, "p", 1) for t in turns], "conv_id long, turn long, role string, text string, part string, `a.b` int")
+
+
 def test_chat(spark):
-    turns = [
-        (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "more"), (0, 3, "assistant", "A"),
-        (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (1, 3, "assistant", "B"), (1, 4, None, None),
-        (2, 0, "user", "alone"), (4, 0, "user", "x"), (4, 1, "assistant", "y"), (5, 0, "user", "x"), (5, 1, "assistant", "y"),
-        (6, 0, "system", "s"), (7, 5, "user", "s"), (None, 0, "user", "?"), (8, 0, None, None), (8, 0, None, None), (9, 0, None, None),
-    ]
-    df = spark.createDataFrame([(*t, "p") for t in turns], "conv_id long, turn long, role string, text string, part string")
-    got = collections.defaultdict(list)
-    for r in rows_of(chat.format_preferences(df)):
-        got[(r["pair_id"], r["part"])].append((r["position"], r["content"], r["loss"]))
-    got = {k: sorted(v) for k, v in got.items()}
-    assert [x[0] for x in got[(0, "prompt")]] == [0, 1, 2] and not any(x[2] for x in got[(0, "prompt")])
-    assert got[(0, "chosen")] == [(3, "<|assistant|>\nA<|end|>\n", True)]
-    assert got[(0, "rejected")] == [(3, "<|assistant|>\nB<|end|>\n", True), (4, "<||>\n<|end|>\n", False)]
-    assert got[(1, "single")] == [(0, "<|user|>\nalone<|end|>\n", False)]
-    assert len(got[(2, "prompt")]) == 2 and (2, "chosen") not in got and (2, "rejected") not in got
-    assert len(got[(3, "chosen")]) == 1 and len(got[(3, "rejected")]) == 1
-    assert len(got[(None, "single")]) == 1
-    assert len(got[(4, "prompt")]) == 1 and len(got[(4, "chosen")]) == 1
-    assert rows_of(chat.format_preferences(df.filter("false"))) == []
+    got = {}
+    for r in rows_of(chat.preference_data(conversations(spark))):
+        got.setdefault(r["pair_id"], []).append(tuple(r[c] for c in ("record", "prompt", "chosen", "rejected", "single", "chosen_loss", "rejected_loss")))
+    turn = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    # The same conversation with the partner's last answer: what comes before it is the prompt, once.
+    assert got[0] == [(0, turn("user", "hi") + turn("assistant", "yes") + turn("user", "more"), turn("assistant", "A"), turn("assistant", "B"), None, "14-23", "14-23")]
+    assert turn("assistant", "A")[14:23] == "A<|end|>\n"
+    # Turns after the last answer are part of the chosen completion, not trained on.
+    assert got[1] == [(0, turn("user", "hey"), turn("assistant", "B") + turn("", ""), turn("assistant", "A"), None, "14-23", "14-23")]
+    assert got[2] == [(0, None, None, None, turn("user", "alone"), None, None)]
+    assert got[4] == [(0, turn("user", "x") + turn("assistant", "y"), None, None, None, None, None)] == got[5]  # equal answers
+    assert got[6][0][4] == turn("system", "s") and got[7][0][4] == turn("assistant", "s")
+    assert sorted(got[None]) == [(0, None, None, None, turn("user", "?"), None, None)] * 2
+    assert got[8] == [(0, None, turn("assistant", "first") + turn("", "") * 2, turn("assistant", "q"), None, "14-27", "14-23")]
+    assert got[9] == [(0, turn("assistant", "q"), turn("assistant", "q"), turn("assistant", "first"), None, "14-23", "14-27")]
+    assert rows_of(chat.preference_data(conversations(spark).filter("false"))) == []
+
+
+def test_any_two_conversations_can_be_sides(spark):
+    sides = [(1, "chosen", 0, "user", "a"), (1, "chosen", 1, "assistant", "b"), (1, "rejected", 0, "user", "a"), (1, "rejected", 1, "assistant", "c"), (1, "rejected", 2, "user", None), (2, "chosen", 0, "user", "a"), (2, "rejected", 0, "user", "z"), (3, "single", 0, "user", "a")]
+    got = collections.Counter(tuple(r) for r in chat.format_preferences(spark.createDataFrame(sides, "pair_id long, side string, position long, role string, text string")).collect())
+    assert got == collections.Counter({(1, "prompt", 0, "user", "a", False): 1, (1, "chosen", 0, "assistant", "b", True): 1, (1, "rejected", 0, "assistant", "c", True): 1, (1, "rejected", 1, "user", None, False): 1, (2, "chosen", 0, "user", "a", False): 1, (2, "rejected", 0, "user", "z", False): 1, (3, "single", 0, "user", "a", False): 1})
+
+
+def test_a_conversation_of_any_length(spark):
+    turns = [(0, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)] + [(1, 0, "user", "q"), (1, 1, "assistant", "x" * 300_000)] + [(3, 7, "user", "same")] * 4000
+    got = sorted(rows_of(chat.preference_data(conversations(spark, turns))), key=lambda r: (r["pair_id"], r["record"]))
+    first = [r for r in got if r["pair_id"] == 0]
+    whole = "".join(f"<|{role}|>\n{text}<|end|>\n" for _, _, role, text in turns[:2999])
+    assert "".join(r["prompt"] for r in first) == whole and len(first) == 6
+    assert [r["rejected"] is not None for r in first] == [True] + [False] * 5 and len(first[0]["rejected"]) > 300_000
+    # Repeated turns take a position each.
+    assert sum(r["single"].count("same") for r in got if r["pair_id"] == 3) == 4000
+    placed = chat.placed_turns(conversations(spark, turns), 64)
+    assert [r["text"] for r in placed.filter("conv_id = 0").orderBy("position").collect()] == [t[3] for t in turns[:3000]]
 
 
 # 10
