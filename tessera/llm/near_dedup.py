@@ -37,10 +37,12 @@ BANDS, BAND_ROWS = 24, 6
 #: For ``similar_texts``: a bit of each of so many least values, and in how many of them a pair to verify may differ.  Texts
 #: of similarity s differ in (1 - s) / 2 of them, 13 at 0.8; more than 32 there with a chance below one in a million.
 SKETCH_BITS, SKETCH_RADIUS = 128, 32
+#: The same for texts that go into later rounds: 102 at 0.8, more than 146 with a chance below one in a hundred thousand.
+FINE_BITS, FINE_RADIUS = 1024, 146
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_TURNS, _SHIFTS = (np.array([xxhash.xxh32_intdigest(name, seed=i) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint32)[:, None] for name in (b"turn", b"shift"))
-#: Shingles of the hubs of a round whose sets are broadcast, 32 MB.
-HUB_CODES = 1 << 22
+_TURNS, _SHIFTS = (np.array([xxhash.xxh32_intdigest(name, seed=i) | 1 for i in range(FINE_BITS)], dtype=np.uint32)[:, None] for name in (b"turn", b"shift"))
+#: Shingles of the hubs of a round whose sets are broadcast, 8 MB.
+HUB_CODES = 1 << 20
 #: Most bits of the bitmap that finds the texts to verify.
 MARKS = 1 << 26
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -184,14 +186,26 @@ def _mixed(columns: list[np.ndarray], start: np.ndarray | np.uint64) -> np.ndarr
         return code ^ (code >> np.uint64(32))
 
 
-def _least(codes: np.ndarray) -> np.ndarray:
+def _least(codes: np.ndarray, permutations: int) -> np.ndarray:
     """The least value of each permutation over the codes."""
-    short, least = (codes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(short), 1024):
-        least = np.minimum(least, (short[None, at : at + 1024] * _TURNS + _SHIFTS).min(axis=1))
+    short, least = (codes >> np.uint64(32)).astype(np.uint32), np.full(permutations, np.iinfo(np.uint32).max, dtype=np.uint32)
+    step = max(1, (1 << 17) // permutations)
+    for at in range(0, len(short), step):
+        least = np.minimum(least, (short[None, at : at + step] * _TURNS[:permutations] + _SHIFTS[:permutations]).min(axis=1))
     return least
 
 
+def _one_bit_each(least: np.ndarray) -> np.ndarray:
+    """A bit of each least value, as rows of longs."""
+    return np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31) == 1, axis=1).view("<i8")
+
+
+def _keys(least: np.ndarray) -> np.ndarray:
+    """The keys of each row of least values, one a band."""
+    banded = least[:, : BANDS * BAND_ROWS].astype(np.uint64).reshape(-1, BANDS, BAND_ROWS)
+    return _mixed([banded[:, :, i] for i in range(BAND_ROWS)], np.arange(1, BANDS + 1, dtype=np.uint64)[None, :]).view(np.int64)
+
+
 def _majority(codes: np.ndarray) -> int:
     """The SimHash of codes that vote once each."""
     votes = np.zeros(64, dtype=np.int64)
@@ -205,17 +219,25 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
     only_cache_of("near_dedup", lambda: None)
     for batch in batches:
         codes = [shingle_codes(x.as_py(), words) for x in batch.column("text")]
-        least = np.array([_least(x) for x in codes], dtype=np.uint32).reshape(-1, BANDS * BAND_ROWS)
-        banded = least.astype(np.uint64).reshape(-1, BANDS, BAND_ROWS)
-        keys = _mixed([banded[:, :, i] for i in range(BAND_ROWS)], np.arange(1, BANDS + 1, dtype=np.uint64)[None, :]).view(np.int64)
-        bits = np.packbits((least[:, :SKETCH_BITS] * np.uint32(0x9E3779B1)) >> np.uint32(31) == 1, axis=1).view("<i8")
+        least = np.array([_least(x, BANDS * BAND_ROWS) for x in codes], dtype=np.uint32).reshape(-1, BANDS * BAND_ROWS)
+        bits = _one_bit_each(least[:, :SKETCH_BITS])
         sizes = [len(x) for x in codes]
         prints = np.array([_majority(x) for x in codes], dtype=np.uint64).view(np.int64)
-        listed = pa.array([k if n else k[:0] for k, n in zip(keys, sizes, strict=True)], pa.list_(pa.int64()))
+        listed = pa.array([k if n else k[:0] for k, n in zip(_keys(least), sizes, strict=True)], pa.list_(pa.int64()))
         made = [batch.column("t"), pa.array(sizes, pa.int64()), pa.array(prints), pa.array(bits[:, 0]), pa.array(bits[:, 1]), listed]
         yield pa.RecordBatch.from_arrays(made, names=["t", "n", "fp", "s0", "s1", "keys"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(t, n, s0 and so on, keys): how many shingles, a bit of each of 1024 least values, and the keys."""
+    for batch in batches:
+        codes = [shingle_codes(x.as_py(), words) for x in batch.column("text")]
+        least = np.array([_least(x, FINE_BITS) for x in codes], dtype=np.uint32).reshape(-1, FINE_BITS)
+        bits = _one_bit_each(least)
+        columns = {"t": batch.column("t"), "n": pa.array([len(x) for x in codes], pa.int64()), **{f"s{i}": pa.array(bits[:, i]) for i in range(bits.shape[1])}, "keys": pa.array(list(_keys(least)), pa.list_(pa.int64()))}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_codes(x.as_py(), words).view(np.int64) for x in batch.column("text")]
@@ -247,6 +269,7 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     That radius is far less than the bits that texts at the border differ in, so texts that share a min-hash key are
     candidates too, in rounds, until all that share one are compared or known to be in one class.  Candidates are verified
     on their whole shingle sets, unless their sizes, or far more bits of their sketches than near copies', tell them apart.
+    Texts left for later rounds, fewer and more alike, get longer sketches.
     """
     prepare_workers(rows.sparkSession)
     made = rows.mapInArrow(partial(_sketched, words=words), "t long, n long, fp long, s0 long, s1 long, keys array<bigint>")
@@ -263,18 +286,12 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
     candidates = shared.union(near).union(entries.filter("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b")))
     entries = entries.filter("t <> hub").select("key", "t")  # a hub is compared with all its key
     total, texts = entries.count(), sketches.count()
-    light, edges, tried, sets, known = False, None, None, None, None
+    linked = candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in "ab":
+        linked = linked.join(sketches.select("t", "n", "s0", "s1").toDF(side, *[f"{side}{c}" for c in ("n", "s0", "s1")]), side)
+    pairs = staged(linked.filter(may_be_alike("a", "b", 2, SKETCH_RADIUS, similarity)).select("a", "b", F.col("a").alias("hub")), "near-pairs")
+    light, fine, edges, sets, known = False, None, None, None, None
     while True:
-        ordered = candidates.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("hub"))
-        linked = ordered.groupBy("a", "b").agg(F.min("hub").alias("hub"))
-        if tried is not None:
-            linked = linked.join(tried, ["a", "b"], "left_anti")
-        for side in "ab":
-            linked = linked.join(sketches.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}{c}") for c in ("n", "s0", "s1")]), side)
-        apart = F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))) + F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1")))
-        sized = F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn")
-        pairs = staged(linked.filter(sized & (apart <= SKETCH_RADIUS)).select("a", "b", "hub"), "near-pairs")
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         asked = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
         asked = staged(asked if known is None else asked.join(known, "t", "left_anti"), "near-asked")
         if known is None or not asked.isEmpty():
@@ -285,9 +302,37 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
             edges = alike if edges is None else edges.union(alike)
             roots = staged(connected_components(edges), "near-roots")
             edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        candidates, entries, light = next_pairs(entries, roots, sketches, total, texts)
-        if candidates is None:
+        left, hubs, light = next_hubs(entries, roots, sketches, total, texts)
+        if hubs is None:
             return roots.withColumnRenamed("node", "t")
+        entries = left.join(hubs, "t", "left_anti").select("key", "t")
+        if fine is None:
+            longs = ", ".join(f"s{i} long" for i in range(FINE_BITS // 64))
+            fine = marked(rows, left.select("t").distinct()).dropDuplicates(["t"]).mapInArrow(partial(_fine, words=words), f"t long, n long, {longs}, keys array<bigint>")
+            fine = staged(fine, "near-fine")
+        pairs = staged(hub_pairs(left, hubs, fine, similarity), "near-pairs")
+
+
+def may_be_alike(x: str, y: str, longs: int, radius: int, similarity: float) -> Column:
+    """Whether two texts' sizes (named by a stem and n) and sketches (stem, s and a number) allow that they are alike."""
+    apart = sum((F.bit_count(F.col(f"{x}s{i}").bitwiseXOR(F.col(f"{y}s{i}"))) for i in range(longs)), F.lit(0))
+    return (F.least(f"{x}n", f"{y}n") >= F.lit(similarity) * F.greatest(f"{x}n", f"{y}n")) & (apart <= radius)
+
+
+def hub_pairs(left: DataFrame, hubs: DataFrame, fine: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, hub): the hubs with the texts of other classes in their keys, as far as their long sketches allow.
+
+    Sketches and keys go along with the entries, so that a pair is tested where it meets and never written if it fails.  A
+    pair is made once: in the first key that it shares, and by the smaller of two hubs.
+    """
+    longs = FINE_BITS // 64
+    told = lambda stem: fine.toDF(f"{stem}t", *[f"{stem}{c}" for c in fine.columns[1:]])
+    flagged = left.join(hubs.withColumn("is_hub", F.lit(True)), "t", "left").select("key", "t", "class", F.coalesce("is_hub", F.lit(False)).alias("is_hub"))
+    texts = flagged.join(told("x"), F.col("t") == F.col("xt")).drop("t")
+    of_hubs = flagged.filter("is_hub").select(F.col("key").alias("hkey"), F.col("t").alias("hub"), F.col("class").alias("hclass")).join(told("y"), F.col("hub") == F.col("yt")).drop("yt")
+    once = (~F.col("is_hub") | (F.col("hub") < F.col("xt"))) & (F.array_intersect("xkeys", "ykeys")[0] == F.col("key"))
+    met = (F.col("key") == F.col("hkey")) & (F.col("class") != F.col("hclass")) & may_be_alike("x", "y", longs, FINE_RADIUS, similarity) & once
+    return texts.join(of_hubs, met).select(F.least("xt", "hub").alias("a"), F.greatest("xt", "hub").alias("b"), "hub")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float, light: bool) -> DataFrame:
@@ -305,15 +350,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, light: bool)
     return both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def next_pairs(entries: DataFrame, roots: DataFrame, sketches: DataFrame, total: int, texts: int) -> tuple[DataFrame | None, DataFrame, bool]:
-    """A round's pairs (a, b) of texts that share a key but no class yet, the entries (key, t) left for later rounds, and
-    whether the hubs' sets, the first of each pair, can be broadcast.
+def next_hubs(entries: DataFrame, roots: DataFrame, sketches: DataFrame, total: int, texts: int) -> tuple[DataFrame, DataFrame | None, bool]:
+    """The entries (key, t, class, top) of keys with several classes, the hubs (t) of a round, and whether their sets can be
+    broadcast.
 
-    In each key, some texts from outside its largest class are hubs: they are paired with all the key's texts of other
-    classes and then leave it.  All others stay, those joined with a hub too, as they may link a third text that the hub is
-    unlike.  A key is done when one class is left.  So two texts of a key are compared, or known to be in one class.  The
-    fewer entries are left, the more hubs a key has: a round makes at most about as many pairs as all texts have keys if
-    the hubs together have at most HUB_CODES shingles, else as many as there were entries at first.
+    In each key, some texts from outside its largest class become hubs: they are paired with the texts of other classes in
+    all their keys and then leave these.  All others stay, those joined with a hub too, as they may link a third text that
+    the hub is unlike.  A key is done when one class is left.  So two texts of a key are compared, or known to be in one
+    class.  The fewer entries are left, the more hubs a key has: it is as many as let a round test about as many pairs as
+    all texts have keys if the hubs together have at most HUB_CODES shingles, else as there were entries at first.
     """
     classed = entries.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("class"))
     sizes = classed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -321,20 +366,15 @@ def next_pairs(entries: DataFrame, roots: DataFrame, sketches: DataFrame, total:
     left = staged(classed.join(largest.select("key", F.col("top.class").alias("top")), "key"), "near-left")
     n = left.count()
     if n == 0:
-        return None, left, False
+        return left, None, False
 
     def hubs_of(most: int) -> DataFrame:
         slot = F.pmod(F.xxhash64("t"), F.lit(max(1, most // n)))
-        hubs = left.filter("class <> top").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("t", "class")).alias("hub"))
-        return staged(hubs.select("key", "hub"), "near-hubs")
+        return staged(left.filter("class <> top").groupBy("key", slot.alias("slot")).agg(F.min("t").alias("t")).select("t").distinct(), "near-hubs")
 
     hubs = hubs_of(BANDS * texts)
-    codes = sketches.join(hubs.select(F.col("hub.t").alias("t")).distinct(), "t", "left_semi").agg(F.sum("n")).first()[0] or 0
-    light = codes <= HUB_CODES
-    if not light:
-        hubs = hubs_of(total)
-    pairs = left.join(hubs, "key").filter("class <> hub.class").select(F.col("hub.t").alias("a"), F.col("t").alias("b"))
-    return pairs, left.join(hubs.select("key", F.col("hub.t").alias("t")), ["key", "t"], "left_anti").select("key", "t"), light
+    codes = sketches.join(hubs, "t", "left_semi").agg(F.sum("n")).first()[0] or 0
+    return (left, hubs, True) if codes <= HUB_CODES else (left, hubs_of(total), False)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -387,7 +387,15 @@ def test_every_pair_that_shares_a_key_is_compared(spark, monkeypatch):
             t = batch.column("t").to_pylist()
             yield pa.RecordBatch.from_pydict({"t": t, "n": [196] * len(t), "fp": t, "s0": t, "s1": t, "keys": [[7]] * len(t)})
 
+    def fine(batches, words):
+        import pyarrow as pa
+
+        for batch in batches:
+            t = batch.column("t").to_pylist()
+            yield pa.RecordBatch.from_pydict({"t": t, "n": [196] * len(t), **{f"s{i}": t for i in range(16)}, "keys": [[7]] * len(t)})
+
     monkeypatch.setattr(near_dedup, "_sketched", sketched)
+    monkeypatch.setattr(near_dedup, "_fine", fine)
     monkeypatch.setattr(near_dedup, "SKETCH_RADIUS", 128)
     monkeypatch.setattr(near_dedup, "FINE_RADIUS", 1024)
     monkeypatch.setattr(near_dedup, "links", lambda distinct: distinct.filter("false").selectExpr("fp AS a", "fp AS b"))
