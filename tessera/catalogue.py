@@ -14,6 +14,7 @@ from tessera.operators import change, cte, join, scan, sort, window
 from tessera.operators import predicate as p
 from tessera.plans.lower import Lowering, Table
 from tessera.plans.parser import parse
+from tessera.session import shared_folder
 from tessera.sources.result_text import as_lines
 from tessera.sources.tables import table
 from tessera.store.session import Engine, Session
@@ -494,6 +495,12 @@ dialect(
     "SELECT event_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS rn, COUNT(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events",
 )
 dialect("sql_distinct_limit", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_mktsegment LIMIT 7 OFFSET 3")
+dialect("sql_is_null", "SELECT c_custkey, user_id IS NULL AS idle FROM customer LEFT JOIN events ON c_custkey = user_id WHERE user_id IS NULL OR NOT c_acctbal IS NOT NULL")
+dialect("sql_cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 4")
+dialect("sql_using", "SELECT * FROM (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_orderkey < 200) o FULL JOIN (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey < 60) c USING (k)")
+dialect("sql_natural_join", "SELECT k, o_orderkey, c_name FROM (SELECT o_custkey AS k, o_orderkey FROM orders) o NATURAL JOIN (SELECT c_custkey AS k, c_name FROM customer) c WHERE o.k < 100")
+dialect("sql_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'middle' ELSE 'low' END AS class, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders")
+dialect("sql_cast", "SELECT CAST(o_orderkey AS VARCHAR) AS name, CAST(CAST(o_orderkey AS VARCHAR) AS INT) + 1 AS next, CAST(o_custkey AS FLOAT) / 2 AS half FROM orders", "SELECT CAST(o_orderkey AS VARCHAR) AS name, CAST(CAST(o_orderkey AS VARCHAR) AS BIGINT) + 1 AS next, CAST(o_custkey AS DOUBLE) / 2 AS half FROM orders")
 
 
 # The store
@@ -501,8 +508,7 @@ dialect("sql_distinct_limit", "SELECT DISTINCT c_mktsegment, c_nationkey FROM cu
 
 def _store(spark: SparkSession, d: str) -> Session:
     """A new store in the folder that executors share, holding the table nation."""
-    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    session = Engine(spark, f"{folder}/store-{uuid.uuid4().hex}").session()
+    session = Engine(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}").session()
     session.run(parse("CREATE TABLE nation (n_nationkey INT, n_name VARCHAR, n_regionkey INT)"))
     session.load("nation", table(spark, d, "nation"))
     return session
@@ -525,19 +531,66 @@ def system_catalogue(spark, d):
     return _store(spark, d).sql("SELECT name, columns, rows FROM sys_tables")
 
 
-@query("SELECT * FROM (VALUES (0, '-> Limit'), (1, '  -> OrderBy'), (2, '    -> Project'), (3, '      -> IndexScan')) AS t(depth, line)")
+@query("SELECT * FROM (VALUES (0, '-> TakeOrderedAndProject'), (1, '  -> Project'), (2, '    -> Filter'), (3, '      -> Scan parquet [IsNotNull(c0), EqualTo(c0,3)]')) AS t(depth, line)")
 def explain_plan(spark, d):
-    """EXPLAIN of a lookup by primary key, a row per operator."""
+    """EXPLAIN of a lookup by primary key, a row per operator of the plan that runs."""
     session = _store(spark, d)
     lines = session.execute("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey = 3 ORDER BY n_name LIMIT 1").splitlines()[:-1]
     return spark.createDataFrame(list(enumerate(lines)), "depth int, line string")
 
 
+@query("SELECT 'nation' AS name, FALSE AS answers UNION ALL SELECT 'region', TRUE")
+def drop_table(spark, d):
+    """Which of two tables answers after one is dropped."""
+    session = _store(spark, d)
+    for text in ("CREATE TABLE region (r_regionkey INT)", "INSERT INTO region VALUES (1)", "DROP TABLE nation"):
+        session.run(parse(text), text)
+    found = [(name, not session.execute(f"SELECT COUNT(*) FROM {name}").startswith("ERR")) for name in ("nation", "region")]
+    return spark.createDataFrame(found, "name string, answers boolean")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_regionkey = 3")
+def create_index(spark, d):
+    """A lookup by an indexed column: the index is metadata, the lookup a filter on the files' statistics."""
+    session = _store(spark, d)
+    for text in ("CREATE INDEX by_region ON nation (n_regionkey) USING HASH", "CREATE INDEX by_name ON nation (n_name)", "DROP INDEX by_name"):
+        session.run(parse(text), text)
+    return session.sql("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 3")
+
+
+@query("SELECT 'reader' AS who, COUNT(*) AS n, CAST(SUM(n_regionkey) AS BIGINT) AS total FROM nation UNION ALL SELECT 'later', COUNT(*) FILTER (n_nationkey >= 5) + 1, CAST(SUM(n_regionkey) FILTER (n_nationkey >= 5) AS BIGINT) + 7 FROM nation")
+def snapshot_read(spark, d):
+    """A transaction reads what was committed when it began, whatever other sessions commit meanwhile."""
+    writer = _store(spark, d)
+    reader = writer.engine.session()
+    reader.run(parse("BEGIN"), "BEGIN")
+    for text in ("DELETE FROM nation WHERE n_nationkey < 5", "INSERT INTO nation VALUES (99, 'ATLANTIS', 7)"):
+        writer.run(parse(text), text)
+    counted = "SELECT COUNT(*) AS n, SUM(n_regionkey) AS total FROM nation"
+    old, new = (s.sql(counted).withColumn("who", F.lit(who)) for s, who in ((reader, "reader"), (writer, "later")))
+    return old.unionByName(new).select("who", "n", "total")
+
+
+@query("SELECT 'first' AS writer, TRUE AS committed, 'one' AS left_there UNION ALL SELECT 'second', FALSE, 'one' UNION ALL SELECT 'insert', TRUE, 'one'")
+def write_conflict(spark, d):
+    """Two transactions change one row: the first to commit wins; an insert beside it is merged."""
+    first = _store(spark, d)
+    second, third = first.engine.session(), first.engine.session()
+    for s, text in ((first, "UPDATE nation SET n_name = 'one' WHERE n_nationkey = 1"), (second, "UPDATE nation SET n_name = 'two' WHERE n_nationkey = 1"), (third, "INSERT INTO nation VALUES (98, 'LEMURIA', 4)")):
+        s.run(parse("BEGIN"), "BEGIN")
+        s.run(parse(text), text)
+    done = [(name, s.execute("COMMIT") == "OK\n") for name, s in (("first", first), ("second", second))]
+    fresh = first.engine.session()
+    fresh.run(parse("INSERT INTO nation VALUES (98, 'LEMURIA', 4)"), "INSERT INTO nation VALUES (98, 'LEMURIA', 4)")
+    done.append(("insert", fresh.execute("SELECT COUNT(*) FROM nation WHERE n_nationkey = 98") == "1\nOK\n"))
+    left = fresh.execute("SELECT n_name FROM nation WHERE n_nationkey = 1").splitlines()[0]
+    return spark.createDataFrame([(*x, left) for x in done], "writer string, committed boolean, left_there string")
+
+
 @query("SELECT CAST(k AS BIGINT) AS k, v FROM (VALUES (1, 'a'), (3, 'z')) AS t(k, v)")
 def stream_replica(spark, d):
     """A leader's commits reach a follower by a file stream."""
-    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    root = f"{folder}/replica-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/replica-{uuid.uuid4().hex}"
     leader, follower = Engine(spark, f"{root}/leader"), Engine(spark, f"{root}/follower")
     session = leader.session()
     for text in ("CREATE TABLE t (k INT, v VARCHAR)", "INSERT INTO t VALUES (1, 'a'), (2, 'b'), (3, 'c')", "DELETE FROM t WHERE k = 2", "UPDATE t SET v = 'z' WHERE k = 3"):
@@ -549,15 +602,17 @@ def stream_replica(spark, d):
 # Placement
 
 
-def hash_ring(spark: SparkSession, d: str) -> DataFrame:
-    """The node of each customer on a ring of four; placement follows Spark's hash, which DuckDB doesn't have."""
+@query(
+    "WITH pts AS (SELECT node, CAST('0x' || substr(md5(node || '#' || i), 1, 14) AS BIGINT) AS pt FROM (VALUES ('n1'), ('n2'), ('n3'), ('n4')) AS n(node), range(10) AS r(i)), "
+    "k AS (SELECT c_custkey, CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 14) AS BIGINT) AS v FROM customer) "
+    "SELECT c_custkey, coalesce(arg_min(node, pt) FILTER (pt >= v), arg_min(node, pt)) AS node FROM k, pts GROUP BY c_custkey, v"
+)
+def hash_ring(spark, d):
+    """The node of each customer on a ring of four."""
     ring = Ring("n1", "n2", "n3", "n4")
     return table(spark, d, "customer").select("c_custkey", ring.column(F.col("c_custkey")).alias("node"))
 
 
-QUERIES["hash_ring"] = hash_ring
-
-
 # The flagship
 
 

@@ -12,7 +12,7 @@ VIRTUAL_NODES = 10
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=7).digest(), "big")
+    return int(hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:14], 16)
 
 
 class Ring:
@@ -40,10 +40,10 @@ class Ring:
         return self._at(_hash(key))
 
     def column(self, key: Column) -> Column:
-        """The node of each row's key, by Spark's own hash over the same points; null for null."""
+        """The node of each row's key, the same as ``get`` gives for its text; null for null."""
         if not self.points:
             raise LookupError("the ring is empty")
-        value = F.shiftrightunsigned(F.xxhash64(key.cast("string")), 8)
+        value = F.conv(F.substring(F.md5(key.cast("string")), 1, 14), 16, 10).cast("long")
         points = F.array(*[F.lit(p) for p, _ in self.points])
         nodes = F.array(*[F.lit(n) for _, n in self.points])
         at = F.aggregate(points, F.lit(0), lambda n, p: n + F.when(p < value, 1).otherwise(0))

@@ -1,72 +1,26 @@
-"""Plan text: a tree of operator names, two spaces deeper a level."""
+"""Plan text: the physical plan of a statement's query as Spark has chosen it, two spaces deeper a level."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Any
 
-from tessera.plans import tree as t
-from tessera.plans.lower import calls
+from pyspark.sql import DataFrame
 
-Indexed = Callable[[str], tuple[str | None, set[str], int]]
 
+def described(node: Any) -> str:
+    """An operator's name, with the filters that a scan evaluates on the statistics and rows of its files."""
+    name = node.nodeName().strip()
+    pushed = node.metadata().get("PushedFilters") if name.startswith("Scan") else None
+    filters = pushed.get() if pushed is not None and pushed.isDefined() else "[]"
+    return name if filters == "[]" else f"{name} {filters}"
 
-def is_index_condition(where: Any, key: str | None, indexed: set[str]) -> bool:
-    """Whether a condition is one that an index answers alone: an equality, or a range of the primary key."""
 
-    def simple(node: Any, ops: tuple[str, ...], columns: set[str | None]) -> bool:
-        return isinstance(node, t.Binary) and node.op in ops and isinstance(node.left, t.Name) and node.left.column in columns and isinstance(node.right, t.Literal)
+def tree_lines(node: Any, depth: int = 0) -> list[str]:
+    children = node.children()
+    return [f"{'  ' * depth}-> {described(node)}"] + [line for i in range(children.size()) for line in tree_lines(children.apply(i), depth + 1)]
 
-    if simple(where, ("=",), {key} | indexed):
-        return True
-    both = isinstance(where, t.Binary) and where.op == "AND"
-    return both and {x.op for x in (where.left, where.right) if simple(x, (">=", "<="), {key})} == {">=", "<="}
 
-
-def plan_lines(node: Any, indexed: Indexed, steps: frozenset[str] = frozenset()) -> list[str]:
-    def nested(name: str, *children: list[str]) -> list[str]:
-        return [f"-> {name}", *[f"  {line}" for child in children for line in child]]
-
-    def source(s: t.Source, where: Any = None) -> list[str]:
-        if s.query is not None:
-            return plan_lines(s.query, indexed, steps)
-        if s.table in steps:
-            return nested("InMemoryScan")
-        key, columns, rows = indexed(s.table)
-        return nested("IndexScan" if where is not None and rows >= 4 and is_index_condition(where, key, columns) else "SeqScan")
-
-    match node:
-        case t.Explain(inner):
-            return plan_lines(inner, indexed, steps)
-        case t.With(parts, body):
-            return plan_lines(body, indexed, steps | {name for name, _ in parts})
-        case t.Insert(query=None):
-            return nested("Insert")
-        case t.Insert(query=query):
-            return nested("Insert", plan_lines(query, indexed, steps))
-        case t.Delete(table, where) | t.Update(table, _, where):
-            lines = source(t.Source(table), where)
-            if where is not None and "IndexScan" not in lines[0]:
-                lines = nested("Filter", lines)
-            return nested(type(node).__name__, lines)
-        case t.Select():
-            lines = source(node.source, None if node.joins else node.where) if node.source else nested("InMemoryScan")
-            for join in node.joins:
-                keyed = join.how == "inner" and isinstance(join.on, t.Binary) and join.on.op == "=" and isinstance(join.on.left, t.Name) and isinstance(join.on.right, t.Name)
-                lines = nested("HashJoin" if keyed else "NestedLoopJoin", lines, source(join.source))
-            if node.where is not None and "IndexScan" not in lines[0]:
-                lines = nested("Filter", lines)
-            every = calls(node.items) + calls(node.having)
-            grouped = bool(node.group) or any(c.over is None for c in every)
-            if grouped:
-                lines = nested("Aggregate", lines)
-            if any(c.over is not None for c in every):
-                lines = nested("Window", lines)
-            if not grouped and not any(isinstance(i.expression, t.Star) for i in node.items):
-                lines = nested("Project", lines)
-            if node.order:
-                lines = nested("OrderBy", lines)
-            if node.limit is not None or node.offset:
-                lines = nested("Limit", lines)
-            return lines
-    return [f"-> {type(node).__name__}"]
+def plan_lines(query: DataFrame, change: str | None = None) -> list[str]:
+    """The plan before stages are cut and code is generated; a change of a table is a node above its query."""
+    lines = tree_lines(query._jdf.queryExecution().sparkPlan())
+    return lines if change is None else [f"-> {change}", *[f"  {line}" for line in lines]]

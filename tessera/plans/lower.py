@@ -10,6 +10,7 @@ from __future__ import annotations
 import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.aggregate import FUNCTIONS
 from tessera.plans import tree as t
+from tessera.types import TYPES
 
 
 class BindError(ValueError):
@@ -40,12 +42,15 @@ class Scope:
 
     columns: list[tuple[str, str, str]] = field(default_factory=list)
     order: list[str] = field(default_factory=list)  # internal names of the primary keys
+    #: Columns that USING has merged into one: found by their qualified names only.
+    merged: list[tuple[str, str, str]] = field(default_factory=list)
 
     def find(self, name: t.Name) -> str | None:
-        return next((i for s, c, i in self.columns if c == name.column and name.table in (None, s)), None)
+        own = self.columns if name.table is None else self.merged + self.columns
+        return next((i for s, c, i in own if c == name.column and name.table in (None, s)), None)
 
     def __add__(self, other: Scope) -> Scope:
-        return Scope(self.columns + other.columns, self.order + other.order)
+        return Scope(self.columns + other.columns, self.order + other.order, self.merged + other.merged)
 
 
 ARITHMETIC = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "%": operator.mod}
@@ -99,6 +104,9 @@ class Lowering:
         rows, scope = self.source(node.source)
         for join in node.joins:
             right, added = self.source(join.source)
+            if join.using is not None:
+                rows, scope = self.using(rows, scope, right, added, join)
+                continue
             if join.how == "cross":
                 rows = rows.crossJoin(right)
             else:
@@ -106,6 +114,21 @@ class Lowering:
             scope = scope + added
         return rows, scope
 
+    def using(self, rows: DataFrame, scope: Scope, right: DataFrame, added: Scope, join: t.Join) -> tuple[DataFrame, Scope]:
+        """USING and NATURAL: common columns are equal and come first, once; of an outer join, the side that has a value."""
+        common = join.using or tuple(dict.fromkeys(c for _, c, _ in scope.columns if added.find(t.Name(c)) is not None))
+        pairs = [(scope.find(t.Name(c)), added.find(t.Name(c))) for c in common]
+        if not pairs or any(None in p for p in pairs):
+            raise BindError("no common column")
+        self.sources += 1
+        names = [f"u{self.sources}_{i}" for i in range(len(pairs))]
+        joined = rows.join(right, reduce(operator.and_, (F.col(a) == F.col(b) for a, b in pairs)), join.how)
+        joined = joined.select("*", *[F.coalesce(a, b).alias(n) for (a, b), n in zip(pairs, names, strict=True)])
+        both = scope + added
+        gone = {i for p in pairs for i in p}
+        shown = [("", c, n) for c, n in zip(common, names, strict=True)] + [x for x in both.columns if x[2] not in gone]
+        return joined, Scope(shown, both.order, both.merged + [x for x in both.columns if x[2] in gone])
+
     def condition(self, node: Any, left: Scope, right: Scope) -> Column:
         """An ON expression."""
         if isinstance(node, t.Binary) and node.op in ("AND", "OR"):
@@ -239,6 +262,12 @@ class Lowering:
                 return COMPARISONS[op](recur(a), recur(b))
             case t.Binary(op, a, b):
                 return ARITHMETIC[op](recur(a), recur(b))
+            case t.Case(operand, branches, otherwise):
+                tests = [recur(c) if operand is None else recur(operand) == recur(c) for c, _ in branches]
+                out = reduce(lambda w, b: w.when(*b), zip(tests, (recur(v) for _, v in branches), strict=True), F)
+                return out if otherwise is None else out.otherwise(recur(otherwise))
+            case t.Cast(x, kind):
+                return recur(x).cast(TYPES[kind][0])
             case t.Between(x, low, high):
                 return recur(x).between(recur(low), recur(high))
             case t.In(x, (t.Subquery(query),)):

@@ -48,6 +48,21 @@ class Between:
     high: Any
 
 
+@dataclass(frozen=True)
+class Case:
+    """CASE with conditions, or with ``operand`` and the values it is compared with."""
+
+    operand: Any
+    branches: tuple[tuple[Any, Any], ...]
+    otherwise: Any = None
+
+
+@dataclass(frozen=True)
+class Cast:
+    operand: Any
+    kind: str
+
+
 @dataclass(frozen=True)
 class Subquery:
     query: Any
@@ -86,6 +101,7 @@ class Join:
     how: str  # inner, left, right, full, cross
     source: Source
     on: Any = None
+    using: tuple[str, ...] | None = None  # common columns, shown once; empty for all that are common (NATURAL)
 
 
 @dataclass(frozen=True)

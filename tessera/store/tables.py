@@ -10,7 +10,7 @@ import uuid
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,8 @@ def schema_of(entry: Entry) -> T.StructType:
     return T.StructType([T.StructField(name, TYPES[kind][0]) for _, name, kind in entry["columns"]])
 
 
-def read(spark: SparkSession, root: str, entry: Entry) -> DataFrame:
+def read(spark: SparkSession, root: str, entry: Entry, file: str | None = None) -> DataFrame:
+    """The rows of a table, with the file of each in the column ``file`` if asked for."""
     by_columns: dict[tuple[int, ...], list[str]] = {}
     for segment in entry["segments"]:
         by_columns.setdefault(tuple(segment["columns"]), []).append(f"{root}/{segment['path']}")
@@ -39,8 +40,17 @@ def read(spark: SparkSession, root: str, entry: Entry) -> DataFrame:
         files = T.StructType([T.StructField(f"c{n}", TYPES[kind][0]) for n, _, kind in entry["columns"] if n in numbers])
         # A segment of which no column is left still has its rows.
         rows = spark.read.schema(files).parquet(*paths)
-        parts.append(rows.select(*[(F.col(f"c{n}") if n in numbers else F.lit(default_of(kind)).cast(TYPES[kind][0])).alias(name) for n, name, kind in entry["columns"]]))
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema_of(entry))
+        parts.append(rows.select(*[(F.col(f"c{n}") if n in numbers else F.lit(default_of(kind)).cast(TYPES[kind][0])).alias(name) for n, name, kind in entry["columns"]], *([F.input_file_name().alias(file)] if file else [])))
+    schema = schema_of(entry)
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema.add(file, "string") if file else schema)
+
+
+def segments_with(spark: SparkSession, root: str, entry: Entry, condition: Column) -> list[dict[str, Any]]:
+    """The segments that have a row the condition holds for; the driver gets at most their names."""
+    rows = read(spark, root, entry, file="file of the row")
+    names = rows.filter(condition).select(F.regexp_extract("file of the row", r"([0-9a-f]{32})/[^/]*$", 1)).distinct()
+    found = {r[0] for r in names.collect()}
+    return [s for s in entry["segments"] if s["path"].rpartition("/")[2] in found]
 
 
 def write_segment(rows: DataFrame, root: str, table: str, entry: Entry) -> dict[str, Any]:

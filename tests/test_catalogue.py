@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 from tessera import catalogue
+from tessera.functions.ring import Ring
 from tessera.operators.predicate import compare
 from tessera.sources.tables import table
 
@@ -27,10 +28,10 @@ def shown(rows, order):
     return sorted(tuple("nan" if isinstance(r[i], float) and math.isnan(r[i]) else repr(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query(spark, con, name):
-    df = __spark_entry__.queries()[name](spark, str(DATA))
-    result = con.execute(__spark_entry__.oracle_sql()[name])
+    df = catalogue.QUERIES[name](spark, str(DATA))
+    result = con.execute(catalogue.SQL[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     names = sorted(columns)
@@ -38,11 +39,14 @@ def test_query(spark, con, name):
 
 
 def test_every_query_of_the_catalogue_has_sql():
-    assert catalogue.QUERIES.keys() - catalogue.SQL.keys() == {"hash_ring"} and catalogue.SQL.keys() <= catalogue.QUERIES.keys()
+    assert catalogue.QUERIES.keys() == catalogue.SQL.keys()
+    assert catalogue.QUERIES.items() <= __spark_entry__.queries().items() and catalogue.SQL.items() <= __spark_entry__.oracle_sql().items()
 
 
 def test_ring_places_every_customer(spark):
     rows = catalogue.QUERIES["hash_ring"](spark, str(DATA)).collect()
+    ring = Ring("n1", "n2", "n3", "n4")
+    assert all(r["node"] == ring.get(str(r["c_custkey"])) for r in rows)
     assert len(rows) == table(spark, str(DATA), "customer").count() and {r["node"] for r in rows} == {"n1", "n2", "n3", "n4"}
 
 

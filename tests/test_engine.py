@@ -29,43 +29,87 @@ def run(session, *statements):
     return out.splitlines()[:-1]
 
 
-PRODUCTS = (
-    "CREATE TABLE products (id INT, name VARCHAR(100), price FLOAT, in_stock BOOL, created_at TIMESTAMP)",
-    "INSERT INTO products VALUES (1, 'Laptop', 999.99, true, 1690000000), (2, 'Mouse', 25.50, true, 1690000010)",
-    "INSERT INTO products VALUES (3, 'Keyboard', 45.00, false, 1690000020)",
-    "INSERT INTO products VALUES (4, 'Monitor', 150.75, true, 1690000030);",
-)
-
-
-def test_products(session):
-    run(session, *PRODUCTS)
-    assert sorted(run(session, "SELECT name FROM products WHERE price > 50")) == ["Laptop", "Monitor"]
-    assert sorted(run(session, "SELECT name FROM products WHERE price <= 45")) == ["Keyboard", "Mouse"]
-    assert run(session, "SELECT name FROM products WHERE in_stock != true") == ["Keyboard"]
-    run(session, "UPDATE products SET price = 20 WHERE name = 'Mouse'", "DELETE FROM products WHERE in_stock = false")
-    assert run(session, "SELECT name FROM products ORDER BY price LIMIT 2") == ["Mouse", "Monitor"]
-    assert run(session, "SELECT name FROM products ORDER BY price DESC LIMIT 1 OFFSET 1") == ["Monitor"]
-    assert run(session, "SELECT COUNT(*), SUM(price), MIN(price), MAX(price) FROM products") == ["3 | 1170.74 | 20 | 999.99"]
-    run(session, "INSERT INTO products VALUES (5,'Cables',10.0,true,0),(6,'Desk',300.0,false,0)")
-    assert sorted(run(session, "SELECT in_stock, COUNT(*) FROM products GROUP BY in_stock")) == ["false | 1", "true | 4"]
-    run(session, "CREATE TABLE item_cats (item_id INT, category_id INT)", "INSERT INTO item_cats VALUES (1,1),(6,2)")
-    assert sorted(run(session, "SELECT name FROM products JOIN item_cats ON id = item_id")) == ["Desk", "Laptop"]
-
-
-def test_window_outer_join_subquery_cte(session):
-    run(session, "CREATE TABLE w (id INT, group_id INT, score INT)", "INSERT INTO w VALUES (1,1,100),(2,1,200),(3,2,150),(4,2,300)")
-    got = run(session, "SELECT id, group_id, score, ROW_NUMBER() OVER (PARTITION BY group_id ORDER BY score DESC) FROM w")
-    assert sorted(got) == ["1 | 1 | 100 | 2", "2 | 1 | 200 | 1", "3 | 2 | 150 | 2", "4 | 2 | 300 | 1"]
-    assert sorted(run(session, "SELECT id, SUM(score) OVER (PARTITION BY group_id) s FROM w")) == ["1 | 100", "2 | 300", "3 | 150", "4 | 450"]
-    run(session, "CREATE TABLE u (id INT, name VARCHAR)", "CREATE TABLE o (id INT, user_id INT, total INT)")
-    run(session, "INSERT INTO u VALUES (1,'alice'),(2,'bob'),(3,'charlie')", "INSERT INTO o VALUES (10,1,100),(11,2,200),(12,1,150)")
-    got = run(session, "SELECT * FROM u LEFT JOIN o ON id = user_id")
-    assert len(got) == 4 and "3 | charlie | NULL | NULL | NULL" in got
-    assert run(session, "SELECT name FROM u WHERE id = (SELECT MAX(id) FROM u)") == ["charlie"]
-    assert run(session, "WITH big AS (SELECT id, score FROM w WHERE score > 150), top AS (SELECT MAX(score) m FROM big) SELECT m FROM top") == ["300"]
-    assert run(session, "SELECT u.name, SUM(total) AS s FROM u JOIN o ON u.id = o.user_id GROUP BY u.name HAVING SUM(total) > 210 ORDER BY s DESC") == ["alice | 250"]
-    assert run(session, "SELECT name FROM u WHERE id IN (SELECT user_id FROM o) AND NOT name LIKE 'b%'") == ["alice"]
-    assert run(session, "SELECT DISTINCT group_id FROM w ORDER BY group_id DESC") == ["2", "1"]
+def lighthouses(session):
+    """A table of five lights and one of the keepers' visits."""
+    run(
+        session,
+        "CREATE TABLE light (nr INT, coast VARCHAR(40), height FLOAT, lit BOOL, since TIMESTAMP)",
+        "INSERT INTO light VALUES (11, 'north', 61.5, true, 1200000000), (12, 'north', 18.25, false, 1300000000), (13, 'west', 44.0, true, 1100000000)",
+        "INSERT INTO light VALUES (14, 'south', 27.75, true, 1250000000);",
+        "INSERT INTO light VALUES (15, NULL, 33.0, NULL, 1000000000)",
+        "CREATE TABLE visit (light INT, keeper VARCHAR, hours INT)",
+        "INSERT INTO visit VALUES (11, 'ada', 4), (11, 'eli', 7), (13, 'ada', 2), (14, 'noor', 9), (77, 'eli', 1)",
+    )
+    return session
+
+
+def test_filters_and_orders(session):
+    s = lighthouses(session)
+    assert sorted(run(s, "SELECT nr FROM light WHERE height >= 33")) == ["11", "13", "15"]
+    assert run(s, "SELECT nr FROM light WHERE lit != true") == ["12"]  # unknown is not different
+    assert run(s, "SELECT nr FROM light WHERE coast IS NULL") == ["15"]
+    assert run(s, "SELECT nr FROM light WHERE NOT coast LIKE '%th' AND nr BETWEEN 12 AND 14") == ["13"]
+    assert run(s, "SELECT nr FROM light ORDER BY since DESC LIMIT 2 OFFSET 1") == ["14", "11"]
+    assert run(s, "SELECT DISTINCT coast FROM light WHERE lit = true ORDER BY coast DESC") == ["west", "south", "north"]
+
+
+def test_changes_of_rows(session):
+    s = lighthouses(session)
+    run(s, "UPDATE light SET lit = true, height = height + 1 WHERE nr = 12", "DELETE FROM light WHERE coast = 'west'")
+    assert sorted(run(s, "SELECT nr, height, lit FROM light")) == ["11 | 61.5 | true", "12 | 19.25 | true", "14 | 27.75 | true", "15 | 33 | NULL"]
+    run(s, "DELETE FROM light WHERE nr > 1000", "DELETE FROM light")
+    assert run(s, "SELECT COUNT(*) FROM light") == ["0"]
+
+
+def test_changes_rewrite_only_segments_with_a_hit(session):
+    s = lighthouses(session)
+    paths = lambda: [x["path"] for x in s.engine.log.latest()["tables"]["light"]["segments"]]
+    before = paths()
+    assert len(before) == 3
+    run(s, "UPDATE light SET height = 1 WHERE nr = 14")
+    assert set(before) - set(paths()) == {before[1]} and len(paths()) == 3
+    run(s, "DELETE FROM light WHERE nr = 999")
+    after = paths()
+    run(s, "DELETE FROM light WHERE nr = 15")
+    assert set(paths()) == set(after) - {before[2]} and run(s, "SELECT name, rows FROM sys_tables WHERE name = 'light'") == ["light | 4"]
+    assert sorted(run(s, "SELECT nr FROM light")) == ["11", "12", "13", "14"]
+
+
+def test_aggregates_joins_windows(session):
+    s = lighthouses(session)
+    assert run(s, "SELECT COUNT(*), COUNT(lit), SUM(height), MIN(since), MAX(coast) FROM light") == ["5 | 4 | 184.5 | 1000000000 | west"]
+    assert sorted(run(s, "SELECT keeper, SUM(hours) AS h FROM visit GROUP BY keeper HAVING SUM(hours) > 6")) == ["eli | 8", "noor | 9"]
+    assert sorted(run(s, "SELECT keeper, coast FROM visit JOIN light ON light = nr WHERE hours < 8")) == ["ada | north", "ada | west", "eli | north"]
+    got = run(s, "SELECT nr, keeper FROM light LEFT JOIN visit ON nr = light")
+    assert len(got) == 6 and {"12 | NULL", "15 | NULL"} <= set(got)
+    assert "NULL | eli" in run(s, "SELECT nr, keeper FROM light RIGHT JOIN visit ON nr = light")
+    assert len(run(s, "SELECT * FROM light CROSS JOIN visit")) == 25
+    got = run(s, "SELECT keeper, light, RANK() OVER (PARTITION BY keeper ORDER BY hours) AS r, SUM(hours) OVER (PARTITION BY keeper ORDER BY light) AS so_far FROM visit")
+    assert sorted(got) == ["ada | 11 | 2 | 4", "ada | 13 | 1 | 6", "eli | 11 | 2 | 7", "eli | 77 | 1 | 8", "noor | 14 | 1 | 9"]
+
+
+def test_subqueries_and_steps(session):
+    s = lighthouses(session)
+    assert run(s, "SELECT nr FROM light WHERE height = (SELECT MAX(height) FROM light WHERE coast != 'north')") == ["13"]
+    assert run(s, "SELECT keeper FROM visit WHERE light NOT IN (SELECT nr FROM light)") == ["eli"]
+    assert run(s, "WITH tall AS (SELECT nr, coast FROM light WHERE height > 30), seen AS (SELECT nr, hours FROM tall JOIN visit ON nr = light) SELECT nr, SUM(hours) FROM seen GROUP BY nr ORDER BY nr") == ["11 | 11", "13 | 2"]
+
+
+def test_case_and_cast(session):
+    s = lighthouses(session)
+    got = run(s, "SELECT nr, CASE WHEN height > 50 THEN 'tall' WHEN lit = true THEN 'lit' ELSE coast END FROM light")
+    assert sorted(got) == ["11 | tall", "12 | north", "13 | lit", "14 | lit", "15 | NULL"]
+    assert sorted(run(s, "SELECT CASE keeper WHEN 'ada' THEN 1 END AS c FROM visit")) == ["1", "1", "NULL", "NULL", "NULL"]
+    assert run(s, "SELECT CAST(nr AS VARCHAR) || '!' AS t, CAST('7' AS INT) * 2 AS n, CAST(height AS INT) AS h FROM light WHERE nr = 14") == ["14! | 14 | 27"]
+    assert session.execute("SELECT CAST(coast AS INT) FROM light WHERE nr = 11").startswith("ERR EXEC")
+
+
+def test_using_and_natural(session):
+    run(session, "CREATE TABLE p (k INT, z VARCHAR, x INT)", "CREATE TABLE q (k INT, z VARCHAR, y INT)", "INSERT INTO p VALUES (1,'a',10),(2,'b',20)", "INSERT INTO q VALUES (2,'b',200),(2,'c',250),(3,'c',300)")
+    assert sorted(run(session, "SELECT * FROM p JOIN q USING (k)")) == ["2 | b | 20 | b | 200", "2 | b | 20 | c | 250"]
+    assert run(session, "SELECT * FROM p NATURAL JOIN q") == ["2 | b | 20 | 200"]
+    assert sorted(run(session, "SELECT k, p.k, q.k, y FROM p FULL JOIN q USING (k, z)")) == ["1 | 1 | NULL | NULL", "2 | 2 | 2 | 200", "2 | NULL | 2 | 250", "3 | NULL | 3 | 300"]
+    assert session.execute("SELECT * FROM p JOIN q USING (x)").startswith("ERR EXEC")
 
 
 def test_side_biased_names(session):
@@ -95,12 +139,13 @@ def test_types_round_trip(session):
     assert session.execute("INSERT INTO t (a, b) VALUES (1, 2)").startswith("ERR EXEC")
 
 
-def test_explain(session):
-    run(session, "CREATE TABLE u (id INT, age INT)", "CREATE TABLE r (role_id INT)", "INSERT INTO u VALUES (1,1),(2,2),(3,3),(4,4),(5,5)")
-    assert run(session, "EXPLAIN SELECT * FROM u WHERE id = 3") == ["-> IndexScan"]
-    assert run(session, "EXPLAIN SELECT * FROM u WHERE id >= 2 AND id <= 4") == ["-> IndexScan"]
-    assert run(session, "EXPLAIN SELECT * FROM u WHERE age > 2 ORDER BY age LIMIT 1") == ["-> Limit", "  -> OrderBy", "    -> Filter", "      -> SeqScan"]
-    assert run(session, "EXPLAIN SELECT id FROM u JOIN r ON id = role_id")[1].strip() == "-> HashJoin"
+def test_explain_is_the_plan_that_runs(session):
+    s = lighthouses(session)
+    assert run(s, "EXPLAIN SELECT nr FROM light WHERE nr = 13")[-1].strip() == "-> Scan parquet [IsNotNull(c0), EqualTo(c0,13)]"
+    names = [line.strip().split(" ")[1] for line in run(s, "EXPLAIN SELECT keeper, SUM(hours) FROM visit JOIN light ON light = nr GROUP BY keeper ORDER BY keeper LIMIT 2")]
+    assert names[0] == "TakeOrderedAndProject" and names.count("HashAggregate") == 2 and names.count("Scan") == 2 and any("Join" in n for n in names)
+    assert run(s, "EXPLAIN DELETE FROM light WHERE nr > 12")[0] == "-> Delete" and run(s, "EXPLAIN INSERT INTO light VALUES (1, 'x', 1.0, true, 1)") == ["-> Insert"]
+    assert any("Window" in line for line in run(s, "EXPLAIN SELECT ROW_NUMBER() OVER (ORDER BY nr) FROM light"))
 
 
 def test_errors():
