@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import repeated
+from tessera.llm.common import repeated, staged
 
 #: Turns of a part that one record holds; a longer part goes on in the pair's next record.
 RECORD_TURNS = 512
@@ -65,8 +65,10 @@ def format_preferences(sides: DataFrame, *, trained_role: str = "assistant") ->
     all part ``single``, without loss.  Roles and texts are compared with nulls equal.  Rows are turns, so that a
     conversation of any length is formatted without being gathered.
     """
-    turn = lambda side: F.max(F.when(F.col("side") == side, F.struct("role", "text"))).alias(side)
-    # Per pair and position the two turns meet; the first position where they differ ends the prompt.
+    told = [F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.isnull("role"), F.isnull("text")]
+    digest = F.struct(F.xxhash64(*told), F.xxhash64(F.lit(7), *told))
+    turn = lambda side: F.max(F.when(F.col("side") == side, digest)).alias(side)
+    # Per pair and position the two turns meet, as hashes of 128 bits; the first position where they differ ends the prompt.
     met = sides.groupBy("pair_id", "position").agg(turn("chosen"), turn("rejected"))
     same = F.col("chosen").eqNullSafe(F.col("rejected"))
     ends = met.groupBy("pair_id").agg(F.min(F.when(~same, F.col("position"))).alias("fork"), F.max(F.col("position") + 1).alias("length"), F.max(F.col("chosen").isNotNull()).alias("has_c"), F.max(F.col("rejected").isNotNull()).alias("has_r"))
@@ -117,7 +119,8 @@ def preference_data(turns: DataFrame, *, trained_role: str = "assistant", record
     table gives an empty table.  Other columns are not read.
     """
     base = turns.select("conv_id", "turn", "role", "text")
-    records = preference_records(format_preferences(swapped_answers(placed_turns(base), trained_role), trained_role=trained_role), record_turns)
+    placed = staged(placed_turns(base), "chat-turns")
+    records = preference_records(format_preferences(swapped_answers(placed, trained_role), trained_role=trained_role), record_turns)
     text = F.lit(None).cast("string")
     stray = base.filter("conv_id is null").select(F.lit(None).cast("long").alias("pair_id"), F.lit(0).cast("long").alias("record"), *[text.alias(c) for c in ("prompt", "chosen", "rejected")], rendered(F.col("role"), F.col("text")).alias("single"), text.alias("chosen_loss"), text.alias("rejected_loss"))
     return records.unionByName(stray)
