@@ -37,10 +37,12 @@ BANDS, BAND_ROWS = 24, 6
 #: For ``similar_texts``: a bit of each of so many least values, and in how many of them a pair to verify may differ.  Texts
 #: of similarity s differ in (1 - s) / 2 of them, 13 at 0.8; more than 32 there with a chance below one in a million.
 SKETCH_BITS, SKETCH_RADIUS = 128, 32
-#: The same for texts that go into later rounds: 102 at 0.8, more than 146 with a chance below one in a hundred thousand.
-FINE_BITS, FINE_RADIUS = 1024, 146
+#: The same for texts that go into later rounds: 102 at 0.8, more than 150 with a chance below one in a million; and for twice
+#: the bits, looked at where these leave a pair: 205 at 0.8, more than 267 with a chance below one in two hundred thousand.
+FINE_BITS, FINE_RADIUS = 1024, 150
+LONG_BITS, LONG_RADIUS = 2 * FINE_BITS, 267
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_TURNS, _SHIFTS = (np.array([xxhash.xxh32_intdigest(name, seed=i) | 1 for i in range(FINE_BITS)], dtype=np.uint32)[:, None] for name in (b"turn", b"shift"))
+_TURNS, _SHIFTS = (np.array([xxhash.xxh32_intdigest(name, seed=i) | 1 for i in range(LONG_BITS)], dtype=np.uint32)[:, None] for name in (b"turn", b"shift"))
 #: Shingles of the hubs of a round whose sets are broadcast, 8 MB.
 HUB_CODES = 1 << 20
 #: Most bits of the bitmap that finds the texts to verify.
@@ -229,12 +231,12 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 
 def _fine(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(t, n, s0 and so on, keys): how many shingles, a bit of each of 1024 least values, and the keys."""
+    """(t, n, s0 and so on, more, keys): how many shingles, a bit of each of 2048 least values, and the keys."""
     for batch in batches:
         codes = [shingle_codes(x.as_py(), words) for x in batch.column("text")]
-        least = np.array([_least(x, FINE_BITS) for x in codes], dtype=np.uint32).reshape(-1, FINE_BITS)
-        bits = _one_bit_each(least)
-        columns = {"t": batch.column("t"), "n": pa.array([len(x) for x in codes], pa.int64()), **{f"s{i}": pa.array(bits[:, i]) for i in range(bits.shape[1])}, "keys": pa.array(list(_keys(least)), pa.list_(pa.int64()))}
+        least = np.array([_least(x, LONG_BITS) for x in codes], dtype=np.uint32).reshape(-1, LONG_BITS)
+        bits, longs = _one_bit_each(least), FINE_BITS // 64
+        columns = {"t": batch.column("t"), "n": pa.array([len(x) for x in codes], pa.int64()), **{f"s{i}": pa.array(bits[:, i]) for i in range(longs)}, "more": pa.array(list(bits[:, longs:]), pa.list_(pa.int64())), "keys": pa.array(list(_keys(least)), pa.list_(pa.int64()))}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -308,15 +310,19 @@ def similar_texts(rows: DataFrame, *, words: int = 5, similarity: float = 0.8) -
         entries = left.join(hubs, "t", "left_anti").select("key", "t")
         if fine is None:
             longs = ", ".join(f"s{i} long" for i in range(FINE_BITS // 64))
-            fine = marked(rows, left.select("t").distinct()).dropDuplicates(["t"]).mapInArrow(partial(_fine, words=words), f"t long, n long, {longs}, keys array<bigint>")
+            fine = marked(rows, left.select("t").distinct()).dropDuplicates(["t"]).mapInArrow(partial(_fine, words=words), f"t long, n long, {longs}, more array<bigint>, keys array<bigint>")
             fine = staged(fine, "near-fine")
         pairs = staged(hub_pairs(left, hubs, fine, similarity), "near-pairs")
 
 
+def bits_apart(x: str, y: str, longs: int) -> Column:
+    """In how many bits two sketches (stem, s and a number) differ."""
+    return sum((F.bit_count(F.col(f"{x}s{i}").bitwiseXOR(F.col(f"{y}s{i}"))) for i in range(longs)), F.lit(0))
+
+
 def may_be_alike(x: str, y: str, longs: int, radius: int, similarity: float) -> Column:
     """Whether two texts' sizes (named by a stem and n) and sketches (stem, s and a number) allow that they are alike."""
-    apart = sum((F.bit_count(F.col(f"{x}s{i}").bitwiseXOR(F.col(f"{y}s{i}"))) for i in range(longs)), F.lit(0))
-    return (F.least(f"{x}n", f"{y}n") >= F.lit(similarity) * F.greatest(f"{x}n", f"{y}n")) & (apart <= radius)
+    return (F.least(f"{x}n", f"{y}n") >= F.lit(similarity) * F.greatest(f"{x}n", f"{y}n")) & (bits_apart(x, y, longs) <= radius)
 
 
 def hub_pairs(left: DataFrame, hubs: DataFrame, fine: DataFrame, similarity: float) -> DataFrame:
@@ -331,7 +337,9 @@ def hub_pairs(left: DataFrame, hubs: DataFrame, fine: DataFrame, similarity: flo
     texts = flagged.join(told("x"), F.col("t") == F.col("xt")).drop("t")
     of_hubs = flagged.filter("is_hub").select(F.col("key").alias("hkey"), F.col("t").alias("hub"), F.col("class").alias("hclass")).join(told("y"), F.col("hub") == F.col("yt")).drop("yt")
     once = (~F.col("is_hub") | (F.col("hub") < F.col("xt"))) & (F.array_intersect("xkeys", "ykeys")[0] == F.col("key"))
-    met = (F.col("key") == F.col("hkey")) & (F.col("class") != F.col("hclass")) & may_be_alike("x", "y", longs, FINE_RADIUS, similarity) & once
+    differ = F.aggregate(F.zip_with("xmore", "ymore", lambda a, b: F.bit_count(a.bitwiseXOR(b))), bits_apart("x", "y", longs), lambda n, b: n + b)
+    alike = may_be_alike("x", "y", longs, FINE_RADIUS, similarity) & (differ <= LONG_RADIUS)
+    met = (F.col("key") == F.col("hkey")) & (F.col("class") != F.col("hclass")) & alike & once
     return texts.join(of_hubs, met).select(F.least("xt", "hub").alias("a"), F.greatest("xt", "hub").alias("b"), "hub")
 
 

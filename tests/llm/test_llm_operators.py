@@ -392,12 +392,13 @@ def test_every_pair_that_shares_a_key_is_compared(spark, monkeypatch):
 
         for batch in batches:
             t = batch.column("t").to_pylist()
-            yield pa.RecordBatch.from_pydict({"t": t, "n": [196] * len(t), **{f"s{i}": t for i in range(16)}, "keys": [[7]] * len(t)})
+            yield pa.RecordBatch.from_pydict({"t": t, "n": [196] * len(t), **{f"s{i}": t for i in range(16)}, "more": [[x] for x in t], "keys": [[7]] * len(t)})
 
     monkeypatch.setattr(near_dedup, "_sketched", sketched)
     monkeypatch.setattr(near_dedup, "_fine", fine)
     monkeypatch.setattr(near_dedup, "SKETCH_RADIUS", 128)
     monkeypatch.setattr(near_dedup, "FINE_RADIUS", 1024)
+    monkeypatch.setattr(near_dedup, "LONG_RADIUS", 2048)
     monkeypatch.setattr(near_dedup, "links", lambda distinct: distinct.filter("false").selectExpr("fp AS a", "fp AS b"))
     rng, rows = random.Random(5), []
     for k in range(4):
