@@ -20,3 +20,11 @@ def test_entry_without_them(tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert q and q.keys() == s.keys() and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_a_package_that_they_need_is_missed_aloud(tmp_path):
+    shutil.copytree(REPO / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_package\n")
+    code = "import __spark_entry__ as e\ntry:\n    e.queries()\nexcept ModuleNotFoundError as error:\n    assert error.name == 'no_such_package'\nelse:\n    raise SystemExit(1)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
