@@ -215,7 +215,9 @@ def join_full(spark, d):
 
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal")
 def join_multi_cond(spark, d):
-    return join.join(table(spark, d, "supplier"), table(spark, d, "customer"), [("s_nationkey", "=", "c_nationkey"), ("s_acctbal", ">", "c_acctbal")]).select("s_suppkey", "c_custkey")
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return join.join(suppliers, customers, [("s_nationkey", "=", "c_nationkey"), ("s_acctbal", ">", "c_acctbal")]).select("s_suppkey", "c_custkey")
 
 
 @query("SELECT e.user_id, c.c_custkey, c.c_name FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey AND c.c_acctbal > 0")

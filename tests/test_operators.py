@@ -150,3 +150,44 @@ def test_names_that_do_not_bind(spark, tmp_path):
         session.sql("SELECT id FROM missing")
     with pytest.raises(CatalogueError):
         session.run(parse("CREATE TABLE t (id INT)"))
+
+
+# Joins whose keys are few and whose pairs are many
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_join_on_a_key_and_an_order_makes_every_pair_once(spark, monkeypatch, op):
+    monkeypatch.setattr(join, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(join, "BLOCK_CHUNKS", 2)
+    values = [None, -0.0, 0.0, 1.5, 1.5, 1.5, 2.0, 7.25, float("nan"), float("inf")]
+    left = [(i, k, values[(i * 7 + k) % 10]) for k in (1, 2, 3) for i in range(40)] + [(0, 1, 1.5)] * 9 + [(1, None, 2.0), (2, 4, 2.0)]
+    right = [(i, k, values[(i * 3 + k) % 10]) for k in (1, 2, 5) for i in range(25)] + [(0, 1, 1.5)] * 8 + [(1, None, 2.0)]
+    l = spark.createDataFrame(left, "id int, k int, `v v` double")
+    r = spark.createDataFrame(right, "id int, k long, w double")
+    got = join.join(l, r, [("k", "=", "k"), ("v v", op, "w")], residual=F.col("l.id") != F.col("r.id") + 30)
+    assert got.columns == ["id", "k", "v v", "id", "k", "w"] and "Generate inline" in plan(got)
+
+    plain = l.alias("l").join(r.alias("r"), (F.col("l.k") == F.col("r.k")) & p.compare(F.col("v v"), op, F.col("w")) & (F.col("l.id") != F.col("r.id") + 30))
+    shown = [sorted(map(repr, df.select("l.id", "l.k", "v v", F.col("r.id").alias("r_id"), F.col("r.k").alias("r_k"), "w").collect())) for df in (got, plain)]
+    assert shown[0] == shown[1] and len(shown[0]) > 500
+
+
+def test_pairs_of_one_key_spread_over_tasks(spark):
+    rows = spark.range(0, 4096, 1, 1).selectExpr("id", "1 AS k", "id AS v")
+    pairs = join.join(rows, rows, [("k", "=", "k"), ("v", "<", "v")])
+    by_task = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by_task) == 4096 * 4095 // 2 and len(by_task) > 1
+    assert "Broadcast" not in plan(pairs) and "Coalesce" in plan(pairs)
+
+
+def test_join_that_blocks_can_not_cut_stays_plain(spark):
+    words = spark.createDataFrame([(1, "10"), (1, "9")], "k int, v string")
+    numbers = spark.createDataFrame([(1, 9), (1, 10)], "k int, w int")
+    got = join.join(words, numbers, [("k", "=", "k"), ("v", "<", "w")])
+    assert "Generate" not in plan(got) and [(r["v"], r["w"]) for r in got.collect()] == [("9", 10)]
+    outer = join.join(numbers, numbers, [("k", "=", "k"), ("w", "<", "w")], "left")
+    assert sorted((r[1], r[3]) for r in outer.collect() if r[3] is not None) == [(9, 10)] and outer.count() == 2
