@@ -177,7 +177,7 @@ def test_join_on_a_key_and_an_order_makes_every_pair_once(spark, monkeypatch, op
 
 
 def test_pairs_of_one_key_spread_over_tasks(spark):
-    rows = spark.range(0, 4096, 1, 1).selectExpr("id", "1 AS k", "id AS v")
+    rows = spark.range(0, 4096, 1, 1).selectExpr("id", "id DIV 4096 AS k", "id AS v")
     pairs = join.join(rows, rows, [("k", "=", "k"), ("v", "<", "v")])
     by_task = pairs.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in by_task) == 4096 * 4095 // 2 and len(by_task) > 1
